@@ -125,3 +125,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, blo
         "doc_id", "source", "block_no", "phase", "release", "deadline", "slot",
         (F.col("slot") * block + F.col("idx") % block - lost).cast("long").alias("position"),
     )
+
+
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+    """All rows of docs, all columns as they are, sorted by their place in the mix.
+
+    Rows that share a doc_id and source stand together at the first one's place. Partitions are ranges of places,
+    so files read in order give the mix; a hot source is spread over all of them.
+    """
+    key = [F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(""))]
+    placed = mix_sources(docs, weights, **options)
+    # a place for each distinct (doc_id, source); rows that repeat it follow one another
+    place = placed.groupBy(F.col("doc_id").alias("__id"), F.coalesce("source", F.lit("")).alias("__source")).agg(F.min("position").alias("__position"))
+    place = written(place, "mix-places")
+    return docs.join(place, key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__source"))).orderBy("__position").select(*docs.columns)

@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import SPACE, WORD_BASE, Prefix, U, Words, mix
@@ -77,12 +78,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*keys, *(pa.array(out[n], pa.int64()) for n in COUNTS)], names=["doc_id", "source", *COUNTS])
 
 
-def failures(symbol_share: float, dup_lines: int, word_length: tuple[float, float]) -> tuple[F.Column, F.Column]:
+def failures(symbol_share: float, dup_lines: int, word_length: tuple[float, float], prefix: str = "") -> tuple[Column, Column]:
     """(base_failed, any rule failed) over the counts."""
-    n = F.col("n_words")
-    base = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    mean = F.col("word_chars") / F.greatest(n, F.lit(1))
-    soft = (F.col("n_symbols") > symbol_share * n) | (F.col("n_dup_lines") >= dup_lines) | (mean < word_length[0]) | (mean > word_length[1])
+    n, chars, symbols, dup, repeat = (F.col(prefix + c) for c in COUNTS)
+    base = (n < 50) | (100 * repeat > 50 * n)
+    mean = chars / F.greatest(n, F.lit(1))
+    soft = (symbols > symbol_share * n) | (dup >= dup_lines) | (mean < word_length[0]) | (mean > word_length[1])
     return base, base | soft
 
 
@@ -128,3 +129,34 @@ def quality_rules(
         "doc_id", "source", *COUNTS, "base_failed", "failed", "host_rate", "host_bad",
         (~F.col("base_failed") & ~(F.col("host_bad") & F.col("failed"))).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, *, bad_rate: float = 0.5, symbol_share: float = 0.1, dup_lines: int = 5, word_length: tuple[float, float] = (2.0, 15.0)) -> DataFrame:
+    """The rows of docs that quality_rules keeps, all columns as they are; texts are not shuffled.
+
+    The hosts' verdicts come from a first pass; the second counts again beside each text.
+    """
+    rules = {"symbol_share": symbol_share, "dup_lines": dup_lines, "word_length": word_length}
+    judged = quality_rules(docs, bad_rate=bad_rate, **rules)
+    bad = written(judged.filter("host_bad").select(F.col("source").alias("__host")).distinct(), "bad-hosts")
+
+    def counts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for col in parts:
+            values = [x.encode("utf-8", "replace") if x is not None else b"" for x in col]
+            found, first = [], 0
+            while first < len(values):  # whole texts, a few MB at a time
+                last, size = first, 0
+                while last < len(values) and (last == first or size + len(values[last]) <= SLICE_BYTES):
+                    size += len(values[last])
+                    last += 1
+                found.append(pd.DataFrame(count_features(values[first:last])))
+                first = last
+            yield pd.concat(found) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in COUNTS})
+
+    feature = F.pandas_udf(counts, ", ".join(f"{c} long" for c in COUNTS), F.PandasUDFType.SCALAR_ITER)
+    columns = docs.columns
+    seen = docs.withColumn("__f", feature(F.col("text").cast("string")))
+    counted = seen.select(*columns, *(F.col(f"__f.{c}").alias(f"__{c}") for c in COUNTS))
+    base, failed = failures(**rules, prefix="__")
+    sound = counted.filter(~base).withColumn("__failed", failed)
+    return sound.join(bad, sound["source"].cast("string").eqNullSafe(bad["__host"]) & sound["__failed"], "left_anti").select(*columns)
