@@ -204,8 +204,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, recall: float =
         .join(classes.select("row", "copy_id", "n", "h1"), "row")
     )
     members = written(members, "near-members")
-    # text moves once by doc_id, and a second time by block for the members only
-    texts = need.withColumn("copy_id", F.coalesce("doc_id", F.lit(NO_ID))).drop("doc_id").join(members, "copy_id")
+    # text moves once by doc_id, and a second time by block for the members only; merged at every size,
+    # since members grow with the corpus
+    texts = need.withColumn("copy_id", F.coalesce("doc_id", F.lit(NO_ID))).drop("doc_id").join(members.hint("merge"), "copy_id")
     # each part meets each part of its block, itself included; most blocks have one part
     pairs = texts.select("comp", "own", "row", "n", "h1", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "n", "h1", "text"
