@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._tables import ids_of, text_slices, written
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 CHUNK_SCHEMA = "chunk long, n_bytes long, n_units long, ids binary, lens binary, blob binary"
 
 

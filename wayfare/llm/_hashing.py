@@ -17,7 +17,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64 for i in 0..n."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
+        size = max(1 << 16, n + n // 4 + 2)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, U(b), np.uint64)
@@ -29,7 +29,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the word (a bijection)."""
-    x = x ^ (x >> U(30))
+    t = x >> U(30)
+    x = np.bitwise_xor(x, t, out=t)
     x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
     x *= U(0x94D049BB133111EB)
@@ -44,7 +45,8 @@ class Prefix:
         n = len(values)
         pw, self.inv = powers(base, n)
         self.c = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * pw[:n], dtype=np.uint64, out=self.c[1:])
+        np.multiply(values, pw[:n], out=self.c[1:])
+        np.cumsum(self.c[1:], out=self.c[1:])
 
     def span(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return (self.c[e] - self.c[s]) * self.inv[s]
@@ -52,7 +54,11 @@ class Prefix:
     def windows(self, k: int) -> np.ndarray:
         """Hashes of every run of k values, by start."""
         n = len(self.c) - 1
-        return (self.c[k:] - self.c[: n - k + 1]) * self.inv[: n - k + 1] if n >= k else np.zeros(0, np.uint64)
+        if n < k:
+            return np.zeros(0, np.uint64)
+        out = self.c[k:] - self.c[: n - k + 1]
+        out *= self.inv[: n - k + 1]
+        return out
 
 
 class Words:

@@ -24,15 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._chunks import CHUNK_BYTES, bounds, chunk_row, chunk_texts, chunked, cuts, frame, pack, pack_bits, pack_sorted, squeeze, unpack, unpack_bits, unpack_sorted
+from ._chunks import bounds, chunk_row, chunk_texts, chunked, cuts, frame, pack, pack_bits, pack_sorted, squeeze, unpack, unpack_bits, unpack_sorted
 from ._chunks import release as unsqueeze
 from ._hashing import BYTE_BASE, Prefix, U, mix
 from ._tables import NO_ID, written
 
 DEPTH, GRAM = 100, 32
+#: Every byte of a chunk takes about a hundred bytes of memory on the way.
+CHUNK_BYTES = 3 << 19
 SPREAD = DEPTH - GRAM + 1
 #: Bytes of text to a bucket.
-BUCKET_BYTES = 3_000_000
+BUCKET_BYTES = 24_000_000
+#: Suffixes that are sorted at once; a bucket is worked off in ranges of its routes.
+SORT_WINDOWS = 400_000
 #: An anchor in more kinds of span than this is dealt window by window.
 MANY_KINDS = 256
 ANCHOR_BITS = 48
@@ -40,7 +44,7 @@ POSITION = (1 << 30) - 1
 
 ANCHORS = "bucket int, chunk long, n long, grams binary, spans binary, docs binary, positions binary"
 STATES = "chunk long, bucket int, n long, gone binary, left binary, many binary"
-STEP2 = "kind int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, chunk long, bucket int, n long, docs binary, positions binary, counts binary, bytes binary, ids binary, lens binary, blob binary, gone binary, left_at binary, left_n binary, left_to binary"
+STEP2 = "kind int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, chunk long, bucket int, n long, routes binary, docs binary, positions binary, counts binary, bytes binary, ids binary, lens binary, blob binary, gone binary, left_at binary, left_n binary, left_to binary"
 LATER = "chunk long, bucket int, n long, later binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 DONE, SENT, LEFT = 0, 1, 2
@@ -67,7 +71,7 @@ class Spans:
         new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (s[1:] != s[:-1] + 1))))
         end = np.concatenate((new[1:], [len(s)])) - 1
         self.anchor, self.lo, self.hi = a[new], s[new], s[end]
-        self.gram = gram[self.anchor]
+        self.gram = mix(gram[self.anchor] + U(1))  # least hashes crowd near zero; spread them over the buckets
 
     @staticmethod
     def _leftmost_least(gram: np.ndarray) -> np.ndarray:
@@ -76,8 +80,10 @@ class Spans:
         key = (gram & ~U(POSITION)) | np.arange(n, dtype=np.uint64)
         pad = -n % SPREAD
         rows = np.concatenate((key, np.full(pad, ~U(0)))).reshape(-1, SPREAD)
+        del key
         before = np.minimum.accumulate(rows, axis=1).ravel()
-        after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+        np.minimum.accumulate(rows[:, ::-1], axis=1, out=rows[:, ::-1])
+        after = rows.ravel()
         return (np.minimum(after[: n - SPREAD + 1], before[SPREAD - 1 : n]) & U(POSITION)).astype(np.int64)
 
     def order(self) -> np.ndarray:
@@ -156,7 +162,7 @@ def _windows(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _piece_rows(chunk: int, starts: np.ndarray, route: np.ndarray, doc_id: np.ndarray, pos: np.ndarray, lo: np.ndarray, n: np.ndarray, buf: np.ndarray, plus: int = 0) -> list[dict]:
     return [
-        {"kind": SENT, "chunk": chunk, "bucket": b + plus, "n": int(n[s:e].sum()), "docs": pack(doc_id[s:e]), "positions": pack(pos[s:e].astype(np.uint32)), "counts": pack(n[s:e].astype(np.uint32)), "bytes": squeeze(buf[_windows(lo[s:e], n[s:e] + DEPTH - 1)].tobytes())}
+        {"kind": SENT, "chunk": chunk, "bucket": b + plus, "n": int(n[s:e].sum()), "routes": pack_sorted(route[s:e]), "docs": pack(doc_id[s:e]), "positions": pack(pos[s:e].astype(np.uint32)), "counts": pack(n[s:e].astype(np.uint32)), "bytes": squeeze(buf[_windows(lo[s:e], n[s:e] + DEPTH - 1)].tobytes())}
         for b, s, e in cuts(route, starts)
     ]
 
@@ -307,24 +313,44 @@ class Suffixes:
         return out
 
 
+def _later(text: np.ndarray, at: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether each window's bytes also start earlier, by the sorted suffixes."""
+    rank = np.zeros(len(at), np.int64)
+    rank[np.lexsort((pos, doc))] = np.arange(len(at))
+    s = Suffixes(text, at, rank)
+    order = s.sort()
+    head = order[np.maximum.accumulate(np.where(s.same_as_previous(order), 0, np.arange(len(order))))]
+    out = np.zeros(len(at), bool)
+    out[order] = (doc[order] != doc[head]) | (pos[order] != pos[head])
+    return out
+
+
 def _sort_spans(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
+    route = np.concatenate([unpack_sorted(r["routes"]) for r in rows])
     doc = np.concatenate([unpack(r["docs"], np.int64) for r in rows])
     pos = np.concatenate([unpack(r["positions"], np.uint32) for r in rows]).astype(np.int64)
     n = np.concatenate([unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
     text = np.frombuffer(b"".join(unsqueeze(r["bytes"]) for r in rows), np.uint8)
     size = n + DEPTH - 1
-    at = _windows(np.cumsum(size) - size, n)
-    d, p = np.repeat(doc, n), _windows(pos, n)
-    by_place = np.lexsort((p, d))
-    rank = np.zeros(len(at), np.int64)
-    rank[by_place] = np.arange(len(at))
-    s = Suffixes(text, at, rank)
-    order = s.sort()
-    first = np.maximum.accumulate(np.where(s.same_as_previous(order), 0, np.arange(len(order))))
-    head = order[first]
-    later = np.zeros(len(at), bool)
-    later[order] = (d[order] != d[head]) | (p[order] != p[head])
+    begin = np.cumsum(size) - size
+    window = np.cumsum(n) - n  # where each piece's windows are in the answer
+    later = np.zeros(int(n.sum()), bool)
+    order = np.argsort(route, kind="stable")
+    done = np.cumsum(n[order])
+    new = np.flatnonzero(_starts_of(route[order]))  # pieces of one route are sorted together
+    first = 0
+    while first < len(order):
+        before = done[first - 1] if first else 0
+        k = np.searchsorted(new, np.searchsorted(done, before + SORT_WINDOWS, "right"), "right") - 1
+        end = int(new[k]) if new[k] > first else int(new[k + 1]) if k + 1 < len(new) else len(order)
+        if done[-1] - before <= SORT_WINDOWS:
+            end = len(order)
+        p = order[first:end]
+        own = size[p]
+        part = text[_windows(begin[p], own)]
+        later[_windows(window[p], n[p])] = _later(part, _windows(np.cumsum(own) - own, n[p]), np.repeat(doc[p], n[p]), _windows(pos[p], n[p]))
+        first = end
     out, start = [], 0
     for r in rows:
         part = later[start : start + r["n"]]
@@ -370,7 +396,7 @@ def remove_repeated_bytes(docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) ->
     sent = need.mapInArrow(_send_anchors(buckets), ANCHORS)
     states = written(sent.groupBy("bucket").applyInArrow(_judge_anchors, STATES), "suffix-states", "uncompressed")
     step = written(need.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(_resolve(buckets), STEP2), "suffix-spans", "uncompressed")
-    pieces = step.filter(F.col("kind") == SENT).select("chunk", "bucket", "n", "docs", "positions", "counts", "bytes")
+    pieces = step.filter(F.col("kind") == SENT).select("chunk", "bucket", "n", "routes", "docs", "positions", "counts", "bytes")
     later = written(pieces.groupBy("bucket").applyInArrow(_sort_spans, LATER), "suffix-later", "uncompressed")
     left = step.filter(F.col("kind") == LEFT).select("chunk", "ids", "lens", "blob", "gone", "left_at", "left_n", "left_to")
     done = left.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(_remove, RESULT)
