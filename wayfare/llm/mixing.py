@@ -138,4 +138,5 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **o
     # a place for each distinct (doc_id, source); rows that repeat it follow one another
     place = placed.groupBy(F.col("doc_id").alias("__id"), F.coalesce("source", F.lit("")).alias("__source")).agg(F.min("position").alias("__position"))
     place = written(place, "mix-places")
-    return docs.join(place, key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__source"))).orderBy("__position").select(*docs.columns)
+    # merged at every size, since places grow with the corpus
+    return docs.join(place.hint("merge"), key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__source"))).orderBy("__position").select(*docs.columns)
