@@ -41,12 +41,12 @@ def drop_templates(docs: DataFrame, *, min_docs: int = 10, fixed_share: float =
     lines = F.transform(F.split("text", "\n", -1), lambda x: masked_words(x))
     distinct = need.filter("text is not null").select(F.explode(F.array_distinct(F.transform(lines, leaf_of))).alias("leaf")).filter("leaf is not null")
     hot = written(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"), "line-leaves")
+    # words and leaf of a line come from one array, so that no filter below computes them again
+    shapes = F.transform(lines, lambda w: F.struct(w.alias("words"), leaf_of(w).alias("leaf")))
     each = (
-        need.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-        .withColumn("words", masked_words(F.col("line")))
-        .withColumn("leaf", leaf_of(F.col("words")))
+        need.filter("text is not null").select("doc_id", "th", F.posexplode(shapes).alias("line_no", "line"))
+        .select(F.col("line.leaf").alias("leaf"), "doc_id", "th", "line_no", F.col("line.words").alias("words"))
         .join(hot, "leaf")
-        .select("leaf", "doc_id", "th", "line_no", "words")
     )
     each = written(each, "line-hot")
     size = each.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
