@@ -68,7 +68,8 @@ def drop_templates(docs: DataFrame, *, min_docs: int = 10, fixed_share: float =
     recur = shaped.select("template", "doc_id", "th").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("template")
     gone = shaped.join(recur, "template").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone")).withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
     gone = written(gone, "line-gone")
-    out = need.join(gone, need["doc_id"].eqNullSafe(gone["g_id"]) & need["th"].eqNullSafe(gone["g_th"]), "left")
+    # texts move once by doc_id, merged at every size, since what goes grows with the corpus
+    out = need.join(gone.hint("merge"), need["doc_id"].eqNullSafe(gone["g_id"]) & need["th"].eqNullSafe(gone["g_th"]), "left")
     part = F.split("text", "\n", -1)
     left = F.filter(F.transform(part, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("gone", s["i"]))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
