@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cutters, similarity
 from ..sources import points as src
+from ..streaming import live
+from . import regions
 
 #: 2024-01-01; windows below are days after it.
 DAY0 = 1704067200
@@ -68,7 +70,7 @@ pair AS (SELECT q.qid, s.traj_id, s.still, least(s.t2, q.t2) - greatest(s.t1, q.
                 {SX} - {QSX} AS dx1, {SY} - {QSY} AS dy1, {EX} - {QEX} AS dx2, {EY} - {QEY} AS dy2
          FROM q JOIN ext s ON {{GUARD}} AND s.t1 < q.t2 AND s.t2 > q.t1),
 abc AS (SELECT qid, traj_id, still, h, (dx2 - dx1) * (dx2 - dx1) + (dy2 - dy1) * (dy2 - dy1) AS a, 2 * (dx1 * (dx2 - dx1) + dy1 * (dy2 - dy1)) AS b, dx1 * dx1 + dy1 * dy1 AS c FROM pair),
-dist AS (SELECT abc.qid, abc.traj_id, round(sum(CASE WHEN still = 1 THEN {still.format(f)} ELSE {f} END), 4) AS dist, round(sum(CASE WHEN still = 1 THEN {still.format(f)} ELSE 0 END), 4) AS static_dist
+dist AS (SELECT abc.qid, abc.traj_id, round(sum(CASE WHEN still = 1 THEN {still.format(f)} ELSE {f} END), 4) AS dist, round(sum(CASE WHEN still = 1 THEN {still.format(f)} ELSE 0 END), 4) AS static_dist, round(sum(CASE WHEN still = 1 THEN 0 ELSE {f} END), 4) AS moving_dist
          FROM abc JOIN ql ON abc.qid = ql.qid JOIN life ON abc.traj_id = life.traj_id AND life.ts < ql.qe AND life.te > ql.qs GROUP BY abc.qid, abc.traj_id)"""
 
 
@@ -102,9 +104,11 @@ SQL: dict[str, str] = {
     "range_cylinder": f"WITH {CYLINDER}, {NEAR} SELECT DISTINCT qid, traj_id FROM u WHERE sqrt((dx1 + u * (dx2 - dx1)) * (dx1 + u * (dx2 - dx1)) + (dy1 + u * (dy2 - dy1)) * (dy1 + u * (dy2 - dy1))) < r",
     "range_instant": f"WITH p AS (SELECT {DAY0} + 10.5e0 * {DAY} AS t0) SELECT s.traj_id FROM seg s CROSS JOIN p WHERE s.t1 <= p.t0 AND p.t0 < s.t2 AND sqrt(({PX} - 50) * ({PX} - 50) + ({PY} - 50) * ({PY} - 50)) < 20",
     "range_mbr": f"WITH {CLIP} SELECT traj_id, count(*) AS n_segments FROM clip WHERE greatest(x1, x2) >= 20 AND least(x1, x2) <= 40 AND greatest(y1, y2) >= 20 AND least(y1, y2) <= 40 GROUP BY traj_id",
+    "range_mbr_exact": f"WITH {CLIP}, z AS (SELECT traj_id, CASE WHEN x2 = x1 THEN CASE WHEN x1 BETWEEN 20 AND 40 THEN 0e0 ELSE 2e0 END ELSE least((20 - x1) / (x2 - x1), (40 - x1) / (x2 - x1)) END AS ax, CASE WHEN x2 = x1 THEN 1e0 ELSE greatest((20 - x1) / (x2 - x1), (40 - x1) / (x2 - x1)) END AS bx, CASE WHEN y2 = y1 THEN CASE WHEN y1 BETWEEN 20 AND 40 THEN 0e0 ELSE 2e0 END ELSE least((20 - y1) / (y2 - y1), (40 - y1) / (y2 - y1)) END AS ay, CASE WHEN y2 = y1 THEN 1e0 ELSE greatest((20 - y1) / (y2 - y1), (40 - y1) / (y2 - y1)) END AS byy FROM clip) SELECT traj_id, count(*) AS n_segments FROM z WHERE greatest(ax, ay, 0e0) <= least(bx, byy, 1e0) GROUP BY traj_id",
     "cylinder_relation_mbr": f"WITH {MBR} SELECT traj_id, CASE WHEN tmax < {DAY0} + 5 * {DAY} OR tmin > {DAY0} + 12 * {DAY} OR power(greatest(xmin - 50, 0, 50 - xmax), 2) + power(greatest(ymin - 50, 0, 50 - ymax), 2) > power(60, 2) THEN 0 WHEN power(greatest(abs(xmin - 50), abs(xmax - 50)), 2) + power(greatest(abs(ymin - 50), abs(ymax - 50)), 2) < power(60, 2) THEN 2 ELSE 1 END AS relation FROM mbr",
     "ied_pairwise": f"WITH {integral('ied')} SELECT qid, traj_id, dist FROM dist",
     "static_distance": f"WITH {integral('ied')} SELECT qid, traj_id, static_dist FROM dist",
+    "moving_center_distance": f"WITH {integral('ied')} SELECT qid, traj_id, moving_dist FROM dist",
     "sddtw_pairwise": f"WITH {integral('sddtw')} SELECT qid, traj_id, dist FROM dist",
     "knn_ied": f"WITH {integral('ied')} SELECT qid, traj_id, dist FROM dist WHERE qid = 0 ORDER BY dist, traj_id LIMIT 10",
     "knn_ied_batch": f"WITH {integral('ied')}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, traj_id) AS rn FROM dist) SELECT qid, traj_id, dist, rn FROM r WHERE rn <= 6",
@@ -115,6 +119,7 @@ SQL: dict[str, str] = {
     "cut_static": f"WITH l AS (SELECT traj_id, min(t) AS t0 FROM points GROUP BY traj_id) SELECT p.traj_id, CAST(floor((p.t - t0) / {DAY}) AS BIGINT) AS piece, count(*) AS n_points, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM points p JOIN l ON p.traj_id = l.traj_id GROUP BY p.traj_id, floor((p.t - t0) / {DAY})",
     "cut_global": f"SELECT traj_id, CAST(floor(t / {DAY}) AS BIGINT) AS piece, count(*) AS n_points, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM points GROUP BY traj_id, floor(t / {DAY})",
     "region_intersects": f"WITH {BOXQ} SELECT qid, id FROM bq JOIN boxes ON x1 <= a2 AND x2 >= a1 AND y1 <= b2 AND y2 >= b1",
+    "region_intersecting_area": f"WITH {BOXQ} SELECT qid, id, round((least(a2, x2) - greatest(a1, x1)) * (least(b2, y2) - greatest(b1, y1)), 4) AS area, round((greatest(a2, x2) - least(a1, x1)) * (greatest(b2, y2) - least(b1, y1)), 4) AS combined_area, round(2 * (x2 - x1 + y2 - y1), 4) AS margin FROM bq JOIN boxes ON x1 <= a2 AND x2 >= a1 AND y1 <= b2 AND y2 >= b1",
     "region_contains": f"WITH {BOXQ} SELECT qid, id FROM bq JOIN boxes ON x1 >= a1 AND x2 <= a2 AND y1 >= b1 AND y2 <= b2",
     "point_location": f"WITH {BOXQ} SELECT qid, id FROM bq JOIN boxes ON a1 BETWEEN x1 AND x2 AND b1 BETWEEN y1 AND y2",
     "region_10nn": f"WITH {BOXQ}, d AS (SELECT qid, id, power(greatest(x1 - a1, 0, a1 - x2), 2) + power(greatest(y1 - b1, 0, b1 - y2), 2) AS d2 FROM bq CROSS JOIN boxes), r AS (SELECT *, rank() OVER (PARTITION BY qid ORDER BY d2) AS rk FROM d) SELECT qid, id, round(d2, 6) AS d2 FROM r WHERE rk <= 10",
@@ -158,8 +163,18 @@ def _fill(sql: str, tokens: dict[str, str]) -> str:
     return sql
 
 
-def run_sql(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = _fill(SQL[name], SPARK_TOKENS)
+#: Queries that Spark answers by another plan than the SQL they must agree with.
+OTHERWISE = {
+    "knn_ied_pruned": (regions.pruned_spark(integral("ied")), SQL["knn_ied_batch"]),
+    "moving_intersecting_area": (regions.area_spark(integral("ied")), f"WITH {regions.area_duck(integral('ied'))}"),
+    # these two are DataFrame queries
+    "oplog_replay": (None, regions.OPLOG_DUCK),
+    "cone_bounds": (None, f"WITH {regions.CONES_DUCK}"),
+}
+
+
+def run_sql(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = _fill(sql, SPARK_TOKENS)
     pts = src.points(spark, sf_dir)
     have = {"points": pts, "seg": src.segments(pts), "boxes": src.boxes(spark, sf_dir)}
     used = {k: v for k, v in have.items() if k in set(RELATION.findall(sql))}
@@ -167,14 +182,19 @@ def run_sql(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duck_sql(name: str) -> str:
-    sql = _fill(SQL[name], DUCK_TOKENS)
+    if name == "oplog_replay":
+        return regions.OPLOG_DUCK
+    if name in live.SQL:
+        return live.SQL[name]
+    sql = _fill(SQL[name] if name in SQL else OTHERWISE[name][1], DUCK_TOKENS)
     return f"WITH {DUCK}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {DUCK} {sql}"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: functools.partial(run_sql, name) for name in SQL}
-    return out | cutters.queries() | similarity.queries()
+    texts = SQL | {k: spark for k, (spark, _) in OTHERWISE.items() if spark}
+    out = {name: functools.partial(run_sql, sql) for name, sql in texts.items()}
+    return out | regions.QUERIES | live.QUERIES | cutters.queries() | similarity.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_sql(name) for name in SQL}
+    return {name: duck_sql(name) for name in [*SQL, *OTHERWISE, *live.SQL]}
