@@ -98,6 +98,16 @@ def test_mixing(spark, texts):
     assert all(r.release <= r.slot < r.deadline for r in got)
 
 
+def test_rows_in_mixed_order(spark, texts):
+    docs = make(spark, texts)
+    place = {}
+    for r in mixing.mix_sources(docs, block=2).collect():
+        place[r.doc_id] = min(place.get(r.doc_id, 10**9), r.position)
+    parts = mixing.in_mixed_order(docs, block=2).rdd.glom().map(lambda p: [r.doc_id for r in p]).collect()
+    got = [i for p in parts for i in p]
+    assert [place[i] for i in got] == list(range(len(texts))) and len(parts) > 1
+
+
 def test_pfair_deviation():
     quota = mixing.quotas([5, 3, 1.5, 0.5], 100)
     slots = mixing.edf_period(quota, 100)
