@@ -9,12 +9,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Sorts after every real id; stands for a null doc_id inside the operators.
 NO_ID = np.iinfo(np.int64).max
@@ -102,6 +103,25 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple
         yield rows, texts
 
 
+def beside(docs: DataFrame, columns: str, make: Callable[[], Callable[[list[bytes]], list[np.ndarray]]], limit: int) -> DataFrame:
+    """docs with further `columns` (DDL) of its texts; `make` gives a task the function from about `limit` bytes of texts to them.
+
+    Rows stay in Arrow batches, so only the texts of one slice are Python objects at a time.
+    """
+    new = StructType.fromDDL(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_texts = make()
+        for rows, texts in text_slices(batches, limit):
+            values, at = of_texts(texts), 0
+            for b in rows:
+                more = [pa.array(v[at : at + b.num_rows]) for v in values]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *new.names])
+                at += b.num_rows
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *new.fields]))
+
+
 def column(rows: list[pa.RecordBatch], name: str) -> pa.ChunkedArray:
     return pa.chunked_array([b.column(b.schema.get_field_index(name)) for b in rows])
 

@@ -12,13 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import BYTE_BASE, Prefix, U, mix
-from ._tables import NO_ID, id_array, ids_of, text_slices
+from ._tables import NO_ID, beside, id_array, ids_of, text_slices
 
 SLICE_BYTES = 1 << 20
 #: 1: the token counts; 0: any token may stand there. Every mask has eight ones.
@@ -183,26 +182,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_tokens: int
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_tokens: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns as they are, without any overlap that find_contamination reports."""
     out = docs
-    columns = docs.columns
-    mark = "__text"
     for ids, texts in bench_blocks(benchmark, block_bytes):
 
-        def clean(parts: Iterator[pd.Series], ids=ids, texts=texts) -> Iterator[pd.Series]:
+        def judge(ids=ids, texts=texts):
             index = build_index(ids, texts)
-            for col in parts:
-                values = [x.encode() if x is not None else b"" for x in col]
-                flags = np.ones(len(values), bool)
-                first = 0
-                while first < len(values):  # whole texts, a few MB at a time
-                    last, size = first, 0
-                    while last < len(values) and (last == first or size + len(values[last]) <= SLICE_BYTES):
-                        size += len(values[last])
-                        last += 1
-                    for d, *_ in find_overlaps(index, Tokens(values[first:last]), min_tokens):
-                        flags[first + d] = False
-                    first = last
-                yield pd.Series(flags)
-
-        keep = F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR_ITER)
-        out = out.withColumn(mark, F.col("text").cast("string")).filter(keep(F.col(mark))).select(*columns)
+
+            def clean(batch: list[bytes]) -> list[np.ndarray]:
+                flags = np.ones(len(batch), bool)
+                flags[[d for d, *_ in find_overlaps(index, Tokens(batch), min_tokens)]] = False  # an empty list changes nothing
+                return [flags]
+
+            return clean
+
+        out = beside(out, "__clean boolean", judge, SLICE_BYTES).filter("__clean").drop("__clean")
     return out

@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import SPACE, WORD_BASE, Prefix, U, Words, mix
-from ._tables import column, text_slices, written
+from ._tables import beside, column, text_slices, written
 
 SLICE_BYTES = 1 << 20
 SYMBOLS = b"#*$%&|<>"
@@ -140,23 +139,15 @@ def keep_good(docs: DataFrame, *, bad_rate: float = 0.5, symbol_share: float = 0
     judged = quality_rules(docs, bad_rate=bad_rate, **rules)
     bad = written(judged.filter("host_bad").select(F.col("source").alias("__host")).distinct(), "bad-hosts")
 
-    def counts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for col in parts:
-            values = [x.encode("utf-8", "replace") if x is not None else b"" for x in col]
-            found, first = [], 0
-            while first < len(values):  # whole texts, a few MB at a time
-                last, size = first, 0
-                while last < len(values) and (last == first or size + len(values[last]) <= SLICE_BYTES):
-                    size += len(values[last])
-                    last += 1
-                found.append(pd.DataFrame(count_features(values[first:last])))
-                first = last
-            yield pd.concat(found) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in COUNTS})
-
-    feature = F.pandas_udf(counts, ", ".join(f"{c} long" for c in COUNTS), F.PandasUDFType.SCALAR_ITER)
+    def counting():
+        def counts(texts: list[bytes]) -> list[np.ndarray]:
+            found = count_features(texts)
+            return [found[c].astype(np.int64) for c in COUNTS]
+
+        return counts
+
     columns = docs.columns
-    seen = docs.withColumn("__f", feature(F.col("text").cast("string")))
-    counted = seen.select(*columns, *(F.col(f"__f.{c}").alias(f"__{c}") for c in COUNTS))
+    counted = beside(docs, ", ".join(f"__{c} long" for c in COUNTS), counting, SLICE_BYTES)
     base, failed = failures(**rules, prefix="__")
     sound = counted.filter(~base).withColumn("__failed", failed)
     return sound.join(bad, sound["source"].cast("string").eqNullSafe(bad["__host"]) & sound["__failed"], "left_anti").select(*columns)
