@@ -11,6 +11,8 @@ holds the false-discovery rate under any dependence. Only histograms of e-values
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,23 +38,40 @@ UNIFORM_SHARES = {"hex": (0.0, 6 / 16, 10 / 16, 0.0), "base32": (26 / 32, 0.0, 6
 LENGTH_BANDS = (32, 48, 64)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often a lambda inside `use` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, groups' text>> of the leftmost non-overlapping matches, in code points.
 
     What lies between the matches (split) and the matches (regexp_extract_all) come in turn;
-    their running lengths are the positions.
+    their running lengths are the positions. They are summed in runs of the square root of their
+    number, since appending to an array copies it.
     """
     p = F.lit(pattern)
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
     each = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, m: string>>").alias("out"))
+    none = F.array().cast("array<struct<start: int, end: int, m: string>>")
+    at = lambda place: F.struct(place.alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         e = s + F.char_length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["m"].alias("m")))).alias("out"))
 
-    return F.aggregate(each, start, step, lambda acc: acc["out"])
+    def in_runs(each: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(each))).cast("int")
+        firsts = F.when(F.size(each) > 0, F.sequence(F.lit(1), F.size(each), side)).otherwise(F.array().cast("array<int>"))
+
+        def add(acc: Column, first: Column) -> Column:
+            run = F.aggregate(F.slice(each, first, side), at(acc["at"]), step)
+            return _let(run, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
+
+        return F.aggregate(firsts, at(F.lit(0)), add, lambda acc: acc["out"])
+
+    return _let(each, in_runs)
 
 
 def _kind(found: Column, kind: str) -> Column:
@@ -91,14 +110,17 @@ def randomness(m: Column) -> dict[str, Column]:
     encoding = F.when(m.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(m.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
     plain = F.when(encoding == "hex", F.lower(m)).otherwise(F.translate(m, "-_", "+/"))
     size = _by_encoding(encoding, {k: len(v) for k, v in ALPHABETS.items()})
-    values = F.transform(F.split(plain, "(?!^)"), lambda c: F.instr(_by_encoding(encoding, ALPHABETS), c) - 1)
+    values = _let(
+        F.struct(encoding.alias("encoding"), plain.alias("plain")),
+        lambda s: F.transform(F.split(s["plain"], "(?!^)"), lambda c: F.instr(_by_encoding(s["encoding"], ALPHABETS), c) - 1),
+    )
     return {"encoding": encoding, "plain": plain, "alphabet": size, "values": values}
 
 
 def _tested(c: DataFrame) -> DataFrame:
     """c has plain, encoding, alphabet, values. Adds n, chi2, runs_z, serial_z, log_e."""
     n = F.size("values").cast("double")
-    part = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.size(F.filter("values", lambda v: F.floor(v * 8 / F.col("alphabet")) == b))), F.lit(0.0), lambda a, x: a + x * x)
+    part = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.size(F.filter("values", lambda v: F.floor(v * 8 / F.col("alphabet")) == b)).cast("double")), F.lit(0.0), lambda a, x: a + x * x)
     chi2 = 8 * part / n - n
     high = F.transform("values", lambda v: F.when(2 * v >= F.col("alphabet"), 1).otherwise(0))
     n1 = F.aggregate("high", F.lit(0.0), lambda a, x: a + x)
@@ -106,7 +128,7 @@ def _tested(c: DataFrame) -> DataFrame:
     expected = 2 * F.col("n1") * (F.col("n") - F.col("n1")) / F.col("n") + 1
     spread = (expected - 1) * (expected - 2) / (F.col("n") - 1)
     mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / n
-    dev = F.transform("values", lambda v: v - F.col("mean"))
+    dev = _let(F.col("mean"), lambda mu: F.transform("values", lambda v: v - mu))
     square = F.aggregate("dev", F.lit(0.0), lambda a, x: a + x * x)
     lag = F.aggregate(F.zip_with(F.slice("dev", 1, F.size("dev") - 1), F.slice("dev", 2, F.size("dev") - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     log_e = F.lit(0.0)
@@ -148,7 +170,8 @@ def find_secrets(docs: DataFrame, *, fdr: float = 0.01, chi2_most: float = 24.3,
 
     c = rows.select("row", F.explode("cand").alias("c")).select("row", "c")
     r = randomness(F.col("c")["m"])
-    c = c.withColumns({k: r[k] for k in ("encoding", "plain", "alphabet")}).withColumn("values", randomness(F.col("c")["m"])["values"])
+    # generated, so that the filter on the tests isn't pushed below: inside lambdas its inlined inputs would be computed for every symbol
+    c = c.select("row", "c", F.inline(F.array(F.struct(*(r[k].alias(k) for k in ("encoding", "plain", "alphabet", "values"))))))
     band = F.lit(0)
     for b in LENGTH_BANDS:
         band = band + F.when(F.col("n") >= b, 1).otherwise(0)
