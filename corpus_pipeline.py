@@ -29,8 +29,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    return sharding.shard_documents(docs)
+    """Where each document goes: doc_id, size, text_crc32, law, shard, slot, grown_shard. Slots of a shard follow the mixed order."""
+    return sharding.shard_documents(docs, in_order=True)
 
 
 STAGES = [

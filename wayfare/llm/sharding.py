@@ -5,7 +5,8 @@ from __future__ import annotations
 import heapq
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tables import ranked, written
@@ -16,6 +17,8 @@ LARGE = 64
 BUNDLES = 4096
 #: ... and one group in FINE_SHARE into fine bundles, the small weights that level the end.
 FINE, FINE_SHARE = 1024, 50
+#: A part's number in the name of its file.
+PART = r"part-(\d+)[^/]*$"
 
 
 def lpt(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
@@ -36,9 +39,23 @@ def _lookup(docs: DataFrame, placed: dict[str, int], key: str) -> DataFrame:
     return made.select(F.col("k").alias(key), F.col("s").alias(f"{key}_shard"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
+def _ranked_by_place(put: DataFrame, each: int = 200_000) -> DataFrame:
+    """Add slot: a gapless rank from 0 within each shard by (file, row), counted in runs of at most `each` rows of a file."""
+    runs = put.withColumn("run", F.floor(F.col("row") / each))
+    before = Window.partitionBy("shard").orderBy("file", "run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = runs.groupBy("shard", "file", "run").agg(F.count(F.lit(1)).alias("c"))
+    offsets = counts.select("shard", "file", "run", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"))
+    inner = Window.partitionBy("shard", "file", "run").orderBy("row")
+    return runs.withColumn("rn", F.row_number().over(inner) - 1).join(offsets, ["shard", "file", "run"]).withColumn("slot", (F.col("rn") + F.col("off")).cast("long"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, *, in_order: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, law "bytes", shard, slot, grown_shard (null under this law).
 
+    slot is gapless from 0 in each shard, by a hash of the document. in_order: docs is a table read from Parquet
+    files, and slots follow its order, file after file (by part number) and row after row; docs that
+    no file holds are written first.
+
     size is the text's UTF-8 bytes plus 8. Documents with equal texts get one shard; a null text
     counts as empty. Groups are weighed by one aggregation on the text's SHA-256 (partial sums first,
     so a hot text costs no skew). Groups over total / (shards * 64) are placed by themselves, the
@@ -46,9 +63,19 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     No rows give no rows; doc_id may be null or repeated; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    place = []
+    if in_order:
+        try:
+            docs.select("_metadata.row_index")
+        except AnalysisException:
+            docs = written(docs, "shard-input")
+        path = F.col("_metadata.file_path")
+        # numbers of more than five digits don't sort as text
+        place = [F.struct(F.length(F.regexp_extract(path, PART, 1)).alias("digits"), F.regexp_extract(path, PART, 1).alias("part"), path.alias("path")).alias("file"), F.col("_metadata.row_index").alias("row")]
+    kept = ["file", "row"] if in_order else []
     rows = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-            "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.sha2("text", 256).alias("grp")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *place).select(
+            *kept, "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.sha2("text", 256).alias("grp")
         ),
         "shard-rows",
     )
@@ -68,10 +95,11 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         rows.withColumn("bundle", bundle)
         .join(F.broadcast(own), "grp", "left")
         .join(F.broadcast(many), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("grp_shard", "bundle_shard").alias("shard"))
+        .select(*kept, "doc_id", "size", "text_crc32", F.coalesce("grp_shard", "bundle_shard").alias("shard"))
     )
     put = written(put, "shard-put")
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    return ranked(put, "shard", order, "slot").select(
+    placed_rows = _ranked_by_place(put) if in_order else ranked(put, "shard", order, "slot")
+    return placed_rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
