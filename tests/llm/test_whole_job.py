@@ -1,6 +1,9 @@
 """What the operators left out before: one test for each gap."""
 
 
+from fractions import Fraction
+from itertools import islice
+
 from wayfare.llm import mixing, sharding
 from wayfare.llm._tables import written
 
@@ -19,3 +22,23 @@ def test_slots_follow_the_mix(spark):
             assert [x for x, _ in mine] == list(range(len(mine))) and mine == sorted(mine, key=lambda x: x[1])
         slots.append({r.doc_id: (r.shard, r.slot) for r in got})
     assert slots[0] != slots[1] and {k: v[0] for k, v in slots[0].items()} == {k: v[0] for k, v in slots[1].items()}
+
+
+def test_mix_keeps_the_exact_weights():
+    for weights in ([1, 1, 1], [5, 3, 1.3, 0.7, 0.37], [0.99983, 0.00017]):
+        total = sum(map(Fraction, weights))
+        given = [0] * len(weights)
+        # blocks enough for every source to last
+        blocks = [int(Fraction(w) / total * 50_000) + 10 for w in weights]
+        for t, (s, _, _, release, deadline) in enumerate(islice(mixing.edf(blocks, mixing.whole(weights)), 50_000), 1):
+            given[s] += 1
+            assert release < t <= deadline
+            assert t % 500 or all(abs(g - Fraction(w) / total * t) < 1 for g, w in zip(given, weights, strict=True))
+
+
+def test_plan_goes_on_after_a_source_ends():
+    rows = {"a": 31, "b": 200, "c": 7, "d": 0, "e": 5, "f": 9}
+    got = list(mixing.plan_blocks(rows, {"a": 1.7, "b": 0.3, "c": 1, "e": 0}, 2))
+    assert [x[5] for x in got] == list(range(len(got))) and all(x[3] <= x[5] < x[4] for x in got)
+    assert {s: sum(x[0] == s for x in got) for s in rows} == {s: -(-n // 2) for s, n in rows.items()}
+    assert all(x[0] in "ef" for x in got[-8:]) and got[-1][6] < sum(rows.values())

@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def read_slices(spark: SparkSession, slices: Iterator[DataFrame], ddl: str, name: str) -> DataFrame:
+    """Append each of the slices to one table in the shared folder and read it back."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for part in slices:
+        part.coalesce(1).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(ddl).parquet(path)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -1,28 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling; DataFrame functions only on the rows.
 
-A source of weight w gets its i-th block (from 1) released at floor((i - 1) / w) and due at
+A source of share w gets its i-th block (from 1) released at floor((i - 1) / w) and due at
 ceil(i / w). Earliest deadline first among the released blocks fills every slot and meets every
 deadline, so after any number of slots a source is less than one block from its share.
 
-Weights are whole numbers over a period of slots; the schedule repeats with that period, so the
-driver plans one period, whatever the number of rows. When a source has given all its blocks, a
-new phase starts with the weights of those that are left: nothing is dropped or repeated.
+Weights are exact: each is a whole multiple of one fraction. A source's ideal share flows evenly; when
+it has given all its blocks in the ideal flow, a new phase starts with the weights of those that are
+left, and windows go by the time at which the flow reaches a block. Nothing is dropped or repeated.
+The driver goes over blocks once, never over rows, and writes the plan in slices as a table.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
 from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import ranked, written
+from ._tables import ranked, read_slices, written
 
 MAX_SOURCES = 512
 PERIOD = 1000
+#: Blocks of the plan that the driver holds at once.
+PLAN_SLICE = 200_000
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
@@ -39,46 +45,101 @@ def quotas(weights: list[float], period: int) -> list[int]:
     return out
 
 
+def whole(weights: list[float]) -> list[int]:
+    """The weights as whole numbers in exactly the same proportion."""
+    exact = [Fraction(w) for w in weights]
+    unit = lcm(*(x.denominator for x in exact))
+    return [int(x * unit) for x in exact]
+
+
+def edf(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """By slot from 0: (source, block from 0, phase, release, deadline). Equal deadlines: first source.
+
+    In the ideal flow source s has given i blocks at virtual time i / weights[s]; the slot reached at virtual time v
+    is the blocks of all sources that ended before v, and v times the weights of the others.
+    """
+    ends = [Fraction(n, w) for n, w in zip(blocks, weights, strict=True)]
+    order = sorted(range(len(blocks)), key=ends.__getitem__)
+    # by phase: when it ends, the blocks of sources that ended before it, the weights of the others
+    until: list[Fraction] = []
+    gone, live = [0], [sum(weights)]
+    for s in order:
+        if until and until[-1] == ends[s]:
+            gone[-1], live[-1] = gone[-1] + blocks[s], live[-1] - weights[s]
+        else:
+            until.append(ends[s])
+            gone.append(gone[-1] + blocks[s])
+            live.append(live[-1] - weights[s])
+    # a source mostly stays in its phase, so the phase is searched from where it was
+    phase_of = [0] * len(blocks)
+
+    def window(s: int, i: int) -> tuple[int, int, int]:
+        w, k = weights[s], phase_of[s]
+        release = gone[k] + i * live[k] // w
+        at = k
+        if (i + 1) * until[k].denominator > until[k].numerator * w:
+            at = bisect_left(until, Fraction(i + 1, w), k)
+        deadline = gone[at] - (-(i + 1) * live[at] // w)
+        phase_of[s] = at
+        return release, deadline, k
+
+    waiting = [(0, s, 0, *window(s, 0)[1:]) for s in range(len(blocks))]
+    ready: list[tuple[int, int, int, int, int]] = []
+    heapq.heapify(waiting)
+    for t in range(sum(blocks)):
+        while waiting and waiting[0][0] <= t:
+            release, s, i, deadline, phase = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, i, phase, release))
+        deadline, s, i, phase, release = heapq.heappop(ready)
+        assert deadline > t
+        yield s, i, phase, release, deadline
+        if i + 1 < blocks[s]:
+            release, deadline, phase = window(s, i + 1)
+            heapq.heappush(waiting, (release, s, i + 1, deadline, phase))
+
+
 def edf_period(quota: list[int], period: int) -> list[list[int]]:
-    """By source, the slots that its blocks get in one period. Equal deadlines: first source."""
-    release: list[list[int]] = [[] for _ in range(period)]
-    for s, c in enumerate(quota):
-        for i in range(c):
-            release[i * period // c].append((-(-(i + 1) * period // c), s))
-    ready: list[tuple[int, int]] = []
+    """By source, the slots that its blocks get in one period of whole shares."""
+    assert sum(quota) == period
     slots: list[list[int]] = [[] for _ in quota]
-    for t in range(period):
-        for x in release[t]:
-            heapq.heappush(ready, x)
-        deadline, s = heapq.heappop(ready)
-        assert deadline > t
+    for t, (s, *_) in enumerate(edf(quota, quota)):
         slots[s].append(t)
     return slots
 
 
-def plan_phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """Rows (source, phase, first block, blocks, start slot, quota, slots of one period)."""
-    left, done = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
-    period = max(period, 4 * len(left))
-    rows: list[dict] = []
-    start, phase = 0, 0
-    while left:
-        live = sorted(s for s in left if weights.get(s, 0) > 0) or sorted(left)
-        share = [weights.get(s, 0) or 1.0 for s in live]
-        quota = quotas(share, period)
-        slots = edf_period(quota, period)
-        last = lambda n, k: (n - 1) // quota[k] * period + slots[k][(n - 1) % quota[k]]  # noqa: E731, B023
-        end = min(last(left[s], k) for k, s in enumerate(live)) + 1
-        for k, s in enumerate(live):
-            used = end // period * quota[k] + bisect_left(slots[k], end % period)
-            rows.append({"source": s, "phase": phase, "first": done[s], "blocks": used, "start": start, "quota": quota[k], "slots": slots[k]})
-            done[s] += used
-            left[s] -= used
-            if not left[s]:
-                del left[s]
-        start += end
-        phase += 1
-    return rows
+def plan_blocks(rows: dict[str, int], weights: dict[str, float], block: int) -> Iterator[tuple[str, int, int, int, int, int, int]]:
+    """(source, block, phase, release, deadline, slot, first row's place): sources with a weight, then the others evenly."""
+    slot = phase0 = place = 0
+    some = sorted(s for s, n in rows.items() if n and weights.get(s, 0) > 0)
+    for group in (some, sorted(s for s, n in rows.items() if n and not weights.get(s, 0) > 0)):
+        start, phase = slot, phase0
+        shares = whole([weights[s] if group is some else 1 for s in group]) if group else []
+        for k, i, p, release, deadline in edf([-(-rows[s] // block) for s in group], shares):
+            s = group[k]
+            phase = max(phase, phase0 + p)
+            yield s, i, phase0 + p, start + release, start + deadline, slot, place
+            slot += 1
+            place += min(block, rows[s] - i * block)
+        phase0 = phase + 1 if group else phase0
+
+
+PLAN = "p_src string, p_block long, phase int, release long, deadline long, slot long, place long"
+
+
+def written_plan(spark: SparkSession, plan: Iterator[tuple]) -> DataFrame:
+    """The plan as a table; the driver holds PLAN_SLICE blocks of it."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in PLAN.split(", "))])
+
+    def slices() -> Iterator[DataFrame]:
+        part = list(islice(plan, PLAN_SLICE))
+        while True:
+            cols = list(zip(*part, strict=True)) or [()] * len(schema)
+            yield spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema))
+            if not (part := list(islice(plan, PLAN_SLICE))):
+                return
+
+    return read_slices(spark, slices(), PLAN, "mix-plan")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, block: int = 32, temperature: float = 0.5, period: int = PERIOD, max_sources: int = MAX_SOURCES) -> DataFrame:
@@ -87,6 +148,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, blo
     Rows of a source keep a fixed pseudo-random order (by a hash of doc_id), `block` rows to a block.
     weights: target weight by source, a null source under the name "" ; sources without one, or with
     0, come after those with one. None: each source's number of rows to the power `temperature`.
+    Weights hold exactly, over any number of slots; period is kept for callers and changes nothing.
     release and deadline are the window of the block in slots; slot is where it went; position is
     the row's place in the mix, gapless from 0. More sources than max_sources raise ValueError.
     Null and repeated doc_ids are kept as rows; no rows give no rows; other columns are not read.
@@ -98,33 +160,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, blo
         raise ValueError(f"over {max_sources} sources: group them before mixing")
     if weights is None:
         weights = {r["src"]: float(r["count"]) ** temperature for r in counts}
-    plan = plan_phases({r["src"]: -(-r["count"] // block) for r in counts}, weights, period)
-    kind = "array<struct<source: string, phase: int, first: long, blocks: long, start: long, quota: long, slots: array<long>>>"
-    # at most max_sources rows a phase and as many phases: a bounded table
-    phases = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), kind))).withColumnsRenamed({"source": "p_src"})
+    plan = written_plan(spark, plan_blocks({r["src"]: r["count"] for r in counts}, weights, block))
     at = ranked(rows, "src", [F.xxhash64("doc_id"), F.col("doc_id")], "idx").withColumn("block_no", F.floor(F.col("idx") / block).cast("long"))
-    j = F.col("block_no") - F.col("first")
-    period = max(period, 4 * len(counts))
-    placed = at.join(F.broadcast(phases), (F.col("src") == F.col("p_src")) & (j >= 0) & (j < F.col("blocks"))).select(
-        "doc_id", "source", "block_no", "phase", "idx",
-        F.expr(f"start + (block_no - first) * {period} div quota").alias("release"),
-        F.expr(f"start + ((block_no - first + 1) * {period} + quota - 1) div quota").alias("deadline"),
-        F.expr(f"start + (block_no - first) div quota * {period} + slots[cast((block_no - first) % quota as int)]").alias("slot"),
-    )
-    # every slot holds a full block, but for the last block of a source whose rows don't come out even
-    rows_of = {r["src"]: r["count"] for r in counts}
-    short = [
-        {"t": p["start"] + (p["blocks"] - 1) // p["quota"] * period + p["slots"][(p["blocks"] - 1) % p["quota"]], "m": -n % block}
-        for p in plan
-        for n in [rows_of[p["source"]]]
-        if p["blocks"] and p["first"] + p["blocks"] == -(-n // block) and n % block
-    ]
-    missing = F.from_json(F.lit(json.dumps(short)), "array<struct<t: long, m: long>>")
-    lost = F.aggregate(missing, F.lit(0).cast("long"), lambda a, x: a + F.when(x["t"] < F.col("slot"), x["m"]).otherwise(F.lit(0).cast("long")))
-    return placed.select(
-        "doc_id", "source", "block_no", "phase", "release", "deadline", "slot",
-        (F.col("slot") * block + F.col("idx") % block - lost).cast("long").alias("position"),
-    )
+    # merged at every size, since the plan grows with the corpus; a key has at most `block` rows
+    placed = at.join(plan.hint("merge"), (F.col("src") == F.col("p_src")) & (F.col("block_no") == F.col("p_block")))
+    return placed.select("doc_id", "source", "block_no", "phase", "release", "deadline", "slot", (F.col("place") + F.col("idx") % block).cast("long").alias("position"))
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
