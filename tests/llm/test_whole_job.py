@@ -1,6 +1,5 @@
 """What the operators left out before: one test for each gap."""
 
-
 from fractions import Fraction
 from itertools import islice
 
@@ -42,3 +41,9 @@ def test_plan_goes_on_after_a_source_ends():
     assert [x[5] for x in got] == list(range(len(got))) and all(x[3] <= x[5] < x[4] for x in got)
     assert {s: sum(x[0] == s for x in got) for s in rows} == {s: -(-n // 2) for s, n in rows.items()}
     assert all(x[0] in "ef" for x in got[-8:]) and got[-1][6] < sum(rows.values())
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.createDataFrame([(i, "", f"host{i % 700}") for i in range(2000)], SCHEMA)
+    got = mixing.mix_sources(docs, block=2).collect()
+    assert sorted(r.position for r in got) == list(range(2000)) and all(r.release <= r.slot < r.deadline for r in got)

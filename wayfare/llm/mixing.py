@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from ._tables import ranked, read_slices, written
 
-MAX_SOURCES = 512
 PERIOD = 1000
 #: Blocks of the plan that the driver holds at once.
 PLAN_SLICE = 200_000
@@ -142,7 +141,7 @@ def written_plan(spark: SparkSession, plan: Iterator[tuple]) -> DataFrame:
     return read_slices(spark, slices(), PLAN, "mix-plan")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, block: int = 32, temperature: float = 0.5, period: int = PERIOD, max_sources: int = MAX_SOURCES) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, block: int = 32, temperature: float = 0.5, period: int = PERIOD) -> DataFrame:
     """doc_id, source, block_no, phase, release, deadline, slot, position: the mixed order of all rows.
 
     Rows of a source keep a fixed pseudo-random order (by a hash of doc_id), `block` rows to a block.
@@ -150,14 +149,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, blo
     0, come after those with one. None: each source's number of rows to the power `temperature`.
     Weights hold exactly, over any number of slots; period is kept for callers and changes nothing.
     release and deadline are the window of the block in slots; slot is where it went; position is
-    the row's place in the mix, gapless from 0. More sources than max_sources raise ValueError.
+    the row's place in the mix, gapless from 0. Any number of sources; the driver holds one entry for each.
     Null and repeated doc_ids are kept as rows; no rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src")), "mix-rows")
-    counts = rows.groupBy("src").count().limit(max_sources + 1).collect()
-    if len(counts) > max_sources:
-        raise ValueError(f"over {max_sources} sources: group them before mixing")
+    counts = rows.groupBy("src").count().collect()
     if weights is None:
         weights = {r["src"]: float(r["count"]) ** temperature for r in counts}
     plan = written_plan(spark, plan_blocks({r["src"]: r["count"] for r in counts}, weights, block))
