@@ -1,9 +1,12 @@
 """What the operators left out before: one test for each gap."""
 
+import random
 from fractions import Fraction
 from itertools import islice
 
-from wayfare.llm import mixing, sharding
+import numpy as np
+
+from wayfare.llm import decontam, mixing, sharding
 from wayfare.llm._tables import written
 
 SCHEMA = "doc_id long, text string, source string"
@@ -47,3 +50,22 @@ def test_mix_of_many_sources(spark):
     docs = spark.createDataFrame([(i, "", f"host{i % 700}") for i in range(2000)], SCHEMA)
     got = mixing.mix_sources(docs, block=2).collect()
     assert sorted(r.position for r in got) == list(range(2000)) and all(r.release <= r.slot < r.deadline for r in got)
+
+
+def test_best_stretch_has_the_most_matches():
+    rng = random.Random(5)
+    for n in range(1, 70):
+        for wrong in (0.05, 0.15, 0.3, 0.6):
+            same = np.array([rng.random() >= wrong for _ in range(n)])
+            start, end, matches = decontam.best_stretch(same)
+            sums = [int(same[a:b].sum()) for a in range(n) for b in range(a + 1, n + 1) if 5 * same[a:b].sum() >= 4 * (b - a)]
+            assert matches == same[start:end].sum() == max(sums, default=0) and 5 * matches >= 4 * (end - start)
+            assert not matches or same[start] and same[end - 1]
+
+
+def test_spread_substitutions_are_contamination(spark):
+    cases = {1: (20, (12, 16)), 2: (30, (8, 13, 18, 23, 27)), 3: (100, range(4, 100, 5))}
+    docs = [(i, "before " + " ".join("zz" if k in gone else f"w{i}x{k}" for k in range(n)) + " after", "a") for i, (n, gone) in cases.items()]
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, (n, _) in cases.items()], "item_id long, text string")
+    got = decontam.find_contamination(spark.createDataFrame(docs, SCHEMA), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_matched) for r in got) == [(1, 1, 18), (2, 2, 25), (3, 3, 80)]

@@ -3,7 +3,7 @@
 Each mask picks some positions of a short token window and ignores the others. The picked
 tokens' hashes of every benchmark window are the index; every window of every document is looked
 up in it. A hit fixes a diagonal (document position minus item position); along it the item and
-the document are compared token by token, and the best-scoring stretch is the overlap.
+the document are compared token by token, and the longest stretch with four fifths of matches is the overlap.
 """
 
 from __future__ import annotations
@@ -93,15 +93,18 @@ def build_index(ids: np.ndarray, texts: list[bytes]) -> Index:
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the stretch with the most matches less four times its mismatches.
+    """(start, end, matches) of the longest stretch of which at least four fifths match, without mismatches at its ends.
 
-    At its ends and over all of it, matches are at least four fifths. Ties: the first stretch.
+    No other such stretch has more matches: one that has m, and room, grows to 5 * m // 4 tokens, of which at least m
+    must match. Ties: the first stretch.
     """
     score = np.concatenate(([0], np.cumsum(np.where(same, 1, -4))))
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return start, end, int(same[start:end].sum())
+    # the last end at which the score is not below a start's: the greatest score from there on never rises
+    most = np.maximum.accumulate(score[::-1])[::-1]
+    end = np.searchsorted(-most, -score, "right") - 1
+    start = int(np.argmax(end - np.arange(len(score))))
+    at = np.flatnonzero(same[start : end[start]])
+    return (start + int(at[0]), start + int(at[-1]) + 1, len(at)) if len(at) else (start, start, 0)
 
 
 def find_overlaps(index: Index, docs: Tokens, min_tokens: int) -> list[tuple[int, int, int, int, int, int]]:
