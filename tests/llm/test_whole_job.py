@@ -6,7 +6,7 @@ from itertools import islice
 
 import numpy as np
 
-from wayfare.llm import decontam, mixing, sharding
+from wayfare.llm import decontam, mixing, secrets, sharding
 from wayfare.llm._tables import written
 
 SCHEMA = "doc_id long, text string, source string"
@@ -69,3 +69,11 @@ def test_spread_substitutions_are_contamination(spark):
     bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, (n, _) in cases.items()], "item_id long, text string")
     got = decontam.find_contamination(spark.createDataFrame(docs, SCHEMA), bench).collect()
     assert sorted((r.doc_id, r.item_id, r.n_matched) for r in got) == [(1, 1, 18), (2, 2, 25), (3, 3, 80)]
+
+
+def test_failed_candidates_count_as_tested(spark):
+    # its log e-value is between ln(1 / 0.01) and ln(3001 / 0.01)
+    secret = "b8De3XkjM8gaf0WaWAiinynV"
+    run = lambda more: spark.createDataFrame([(1, secret, "a"), (2, " ".join("q" * (24 + k % 7) for k in range(more)), "a")], SCHEMA)
+    found = [{r.doc_id: r.n_random for r in secrets.find_secrets(run(more)).collect()} for more in (0, 3000)]
+    assert found == [{1: 1, 2: 0}, {1: 0, 2: 0}]

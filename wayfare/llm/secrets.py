@@ -175,12 +175,14 @@ def find_secrets(docs: DataFrame, *, fdr: float = 0.01, chi2_most: float = 24.3,
     band = F.lit(0)
     for b in LENGTH_BANDS:
         band = band + F.when(F.col("n") >= b, 1).otherwise(0)
-    tested = _tested(c).filter((F.col("chi2") <= chi2_most) & (F.abs("runs_z") <= z_most) & (F.abs("serial_z") <= z_most))
-    # e-values are compared on steps of a tenth of their logarithm, so a histogram is enough
-    tested = written(tested.select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.floor(F.least(F.col("log_e"), F.lit(200.0)) * 10).cast("int").alias("step"), band.alias("band")), "secret-tests")
+    passed = (F.col("chi2") <= chi2_most) & (F.abs("runs_z") <= z_most) & (F.abs("serial_z") <= z_most)
+    # e-values are compared on steps of a tenth of their logarithm, so a histogram is enough; a candidate that
+    # fails a test has no step (its e-value is 0) and still counts among all that were tested
+    step = F.when(passed, F.floor(F.least(F.col("log_e"), F.lit(200.0)) * 10).cast("int"))
+    tested = written(_tested(c).select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), step.alias("step"), band.alias("band")), "secret-tests")
     from pyspark.sql import Window
 
-    down = Window.partitionBy("band").orderBy(F.col("step").desc())
+    down = Window.partitionBy("band").orderBy(F.col("step").desc_nulls_last())
     least = (
         tested.groupBy("band", "step").agg(F.count(F.lit(1)).alias("k"))
         .withColumns({"found": F.sum("k").over(down), "all": F.sum("k").over(Window.partitionBy("band"))})
