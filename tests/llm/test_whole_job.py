@@ -6,7 +6,7 @@ from itertools import islice
 
 import numpy as np
 
-from wayfare.llm import decontam, mixing, secrets, sharding
+from wayfare.llm import decontam, lines, mixing, secrets, sharding
 from wayfare.llm._tables import written
 
 SCHEMA = "doc_id long, text string, source string"
@@ -77,3 +77,19 @@ def test_failed_candidates_count_as_tested(spark):
     run = lambda more: spark.createDataFrame([(1, secret, "a"), (2, " ".join("q" * (24 + k % 7) for k in range(more)), "a")], SCHEMA)
     found = [{r.doc_id: r.n_random for r in secrets.find_secrets(run(more)).collect()} for more in (0, 3000)]
     assert found == [{1: 1, 2: 0}, {1: 0, 2: 0}]
+
+
+def test_a_leaf_holds_several_templates(spark):
+    lead = "all rights reserved "
+    notice = [lead + " ".join(f"{c}{w}" for w in "abcdefghi") for c in "pqr"]
+    docs = [(100 * k + i, n, "a") for k, n in enumerate(notice) for i in range(12)]
+    # a notice in a third of its leaf, among lines of their own; one with a name in it; one too rare
+    word = lambda i: "".join("ghijklmnop"[int(c)] for c in str(i))
+    docs += [(1000 + i, "see the terms at our main site", "a") for i in range(12)]
+    docs += [(2000 + i, "see the terms " + " ".join(f"{word(i)}{c}" for c in "abcd"), "a") for i in range(24)]
+    docs += [(3000 + i, f"{lead}by {word(i)} and partners in this land of ours", "a") for i in range(12)]
+    docs += [(4000 + i, lead + "but only in nine documents and no more", "a") for i in range(9)]
+    got = {r.doc_id: r.n_dropped for r in lines.drop_templates(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert len(got) == len(docs)
+    assert {i for i, n in got.items() if n} == {i for i in got if i < 2000 or 3000 <= i < 4000} and max(got.values()) == 1
+
