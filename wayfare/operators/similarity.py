@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import points as src
 
-START, STEP, SAMPLES = 1704067200 + 5 * 86400, 7 * 86400 // 8, 8
+#: Eight intervals of a seven-day window, so nine samples: its end is one of them.
+START, STEP, SAMPLES = 1704067200 + 5 * 86400, 7 * 86400 // 8, 9
 
 
 def dtw(q: Column, o: Column) -> Column:
@@ -30,10 +31,11 @@ def dtw(q: Column, o: Column) -> Column:
 
 
 def resampled(pts: DataFrame) -> DataFrame:
-    """traj_id, i, x, y: positions at SAMPLES even times, where the trajectory is alive."""
-    seg = src.segments(pts)
+    """traj_id, i, x, y: positions at SAMPLES even times, where the trajectory is alive, its last instant included."""
+    seg = src.segments(pts).withColumn("last", F.max("t2").over(Window.partitionBy("traj_id")))
     lo = F.greatest(F.lit(0), F.ceil((F.col("t1") - START) / STEP))
-    hi = F.least(F.lit(SAMPLES - 1), F.ceil((F.col("t2") - START) / STEP) - 1)
+    until = (F.col("t2") - START) / STEP
+    hi = F.least(F.lit(SAMPLES - 1), F.when(F.col("t2") == F.col("last"), F.floor(until)).otherwise(F.ceil(until) - 1))
     rows = seg.withColumns({"lo": lo.cast("int"), "hi": hi.cast("int")}).filter("lo <= hi").withColumn("i", F.explode(F.sequence("lo", "hi")))
     f = (F.lit(START) + F.col("i") * STEP - F.col("t1")) / (F.col("t2") - F.col("t1"))
     return rows.select("traj_id", "i", (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("y"))
@@ -55,8 +57,6 @@ def rmdtw(pts: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from pyspark.sql import Window
-
     def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rmdtw(src.points(spark, sf_dir))
 
