@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import cutters, similarity
 from ..sources import points as src
 from ..streaming import live
-from . import regions
+from . import ranges, regions
 
 #: 2024-01-01; windows below are days after it.
 DAY0 = 1704067200
@@ -99,7 +99,7 @@ SQL: dict[str, str] = {
     "points_during": f"SELECT traj_id, count(*) AS n FROM points WHERE t BETWEEN {DAY0} + 5 * {DAY} AND {DAY0} + 12 * {DAY} GROUP BY traj_id",
     "position_at_time": f"WITH p AS (SELECT {DAY0} + 10.5e0 * {DAY} AS t0) SELECT s.traj_id, round({PX}, 6) AS x, round({PY}, 6) AS y FROM seg s CROSS JOIN p WHERE s.t1 <= p.t0 AND p.t0 < s.t2",
     "clip_window": f"WITH {CLIP} SELECT traj_id, seg_no, round(t1, 3) AS t1, round(x1, 6) AS x1, round(y1, 6) AS y1, round(t2, 3) AS t2, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM clip",
-    "resample_query": f"WITH n AS (SELECT {{RANGE8}} AS i), p AS (SELECT {DAY0} + 5 * {DAY} + i * 7e0 * {DAY} / 8 AS t0, i FROM n) SELECT s.traj_id, p.i, round({PX}, 6) AS x, round({PY}, 6) AS y FROM p JOIN seg s ON s.t1 <= p.t0 AND p.t0 < s.t2",
+    "resample_query": f"WITH n AS (SELECT {{SAMPLES}} AS i), p AS (SELECT {DAY0} + 5 * {DAY} + i * 7e0 * {DAY} / 8 AS t0, i FROM n) SELECT s.traj_id, p.i, round({PX}, 6) AS x, round({PY}, 6) AS y FROM p JOIN seg s ON s.t1 <= p.t0 AND (p.t0 < s.t2 OR p.t0 = s.t2 AND NOT s.has_next)",
     "link_pieces": f"WITH a AS (SELECT traj_id, t, x, y FROM points WHERE t <= {DAY0} + 9 * {DAY} UNION SELECT traj_id, t, x, y FROM points WHERE t >= {DAY0} + 7 * {DAY}) SELECT traj_id, count(*) AS n_points, round(min(t), 3) AS t_start, round(max(t), 3) AS t_end FROM a GROUP BY traj_id",
     "range_cylinder": f"WITH {CYLINDER}, {NEAR} SELECT DISTINCT qid, traj_id FROM u WHERE sqrt((dx1 + u * (dx2 - dx1)) * (dx1 + u * (dx2 - dx1)) + (dy1 + u * (dy2 - dy1)) * (dy1 + u * (dy2 - dy1))) < r",
     "range_instant": f"WITH p AS (SELECT {DAY0} + 10.5e0 * {DAY} AS t0) SELECT s.traj_id FROM seg s CROSS JOIN p WHERE s.t1 <= p.t0 AND p.t0 < s.t2 AND sqrt(({PX} - 50) * ({PX} - 50) + ({PY} - 50) * ({PY} - 50)) < 20",
@@ -130,7 +130,8 @@ SQL: dict[str, str] = {
     "result_paging": "SELECT id, x1, y1 FROM boxes WHERE x1 <= 30 AND x2 >= 10 ORDER BY id LIMIT 20 OFFSET 10",
     "delete_antijoin": "WITH gone AS (SELECT id FROM boxes WHERE x1 < 0) SELECT b.id, b.x1, b.y1, b.x2, b.y2 FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.id = b.id)",
     "segment_intersects_region": "SELECT s.traj_id, s.seg_no FROM seg s WHERE greatest(x1, x2) >= 40 AND least(x1, x2) <= 60 AND greatest(y1, y2) >= 40 AND least(y1, y2) <= 60 AND NOT (sign((x2 - x1) * (40 - y1) - (y2 - y1) * (40 - x1)) = sign((x2 - x1) * (60 - y1) - (y2 - y1) * (40 - x1)) AND sign((x2 - x1) * (40 - y1) - (y2 - y1) * (40 - x1)) = sign((x2 - x1) * (40 - y1) - (y2 - y1) * (60 - x1)) AND sign((x2 - x1) * (40 - y1) - (y2 - y1) * (40 - x1)) = sign((x2 - x1) * (60 - y1) - (y2 - y1) * (60 - x1)) AND sign((x2 - x1) * (40 - y1) - (y2 - y1) * (40 - x1)) <> 0)",
-    "segment_intersects_segment": "WITH o AS (SELECT traj_id, seg_no, (x2 - x1) * (10 - y1) - (y2 - y1) * (10 - x1) AS o1, (x2 - x1) * (90 - y1) - (y2 - y1) * (90 - x1) AS o2, 80 * (y1 - 10) - 80 * (x1 - 10) AS o3, 80 * (y2 - 10) - 80 * (x2 - 10) AS o4 FROM seg) SELECT traj_id, seg_no FROM o WHERE sign(o1) * sign(o2) < 0 AND sign(o3) * sign(o4) < 0",
+    # a proper crossing, or an end of one that is collinear with the other and between its ends
+    "segment_intersects_segment": "WITH o AS (SELECT *, (x2 - x1) * (10 - y1) - (y2 - y1) * (10 - x1) AS o1, (x2 - x1) * (90 - y1) - (y2 - y1) * (90 - x1) AS o2, 80 * (y1 - 10) - 80 * (x1 - 10) AS o3, 80 * (y2 - 10) - 80 * (x2 - 10) AS o4 FROM seg) SELECT traj_id, seg_no FROM o WHERE sign(o1) * sign(o2) < 0 AND sign(o3) * sign(o4) < 0 OR o1 = 0 AND CASE WHEN x1 <> x2 THEN 10 BETWEEN least(x1, x2) AND greatest(x1, x2) ELSE 10 BETWEEN least(y1, y2) AND greatest(y1, y2) END OR o2 = 0 AND CASE WHEN x1 <> x2 THEN 90 BETWEEN least(x1, x2) AND greatest(x1, x2) ELSE 90 BETWEEN least(y1, y2) AND greatest(y1, y2) END OR o3 = 0 AND x1 BETWEEN 10 AND 90 OR o4 = 0 AND x2 BETWEEN 10 AND 90",
     "point_line_distance": f"SELECT traj_id, seg_no, round(abs((x2 - x1) * (y1 - 50) - (x1 - 50) * (y2 - y1)) / {SPEED}, 6) AS dist FROM seg WHERE {SPEED} > 0",
     "interval_intersects": f"SELECT traj_id, seg_no, t1 <= {DAY0} + 9 * {DAY} AND t2 >= {DAY0} + 8 * {DAY} AS closed, t1 < {DAY0} + 9 * {DAY} AND t2 > {DAY0} + 8 * {DAY} AS opened, t1 < {DAY0} + 9 * {DAY} AND t2 > {DAY0} + 8 * {DAY} AS right_open FROM seg",
     "interval_contains": f"SELECT traj_id, seg_no FROM seg WHERE t1 <= {DAY0} + 9 * {DAY} AND {DAY0} + 9 * {DAY} <= t2",
@@ -143,7 +144,7 @@ SQL: dict[str, str] = {
     "moving_surface": f"WITH {MOVE} SELECT traj_id, round(sum((t2 - t1) * 4 + (t2 - t1) * (t2 - t1) * (abs(vx) + abs(vy)) / 2), 2) AS surface FROM mv GROUP BY traj_id",
     "external_sort": "SELECT traj_id, seg_no, row_number() OVER (PARTITION BY traj_id ORDER BY (t1 + t2) / 2, seg_no) AS place FROM seg",
     "unique_adjacent": "WITH p AS (SELECT traj_id, t, y, lag(y) OVER (PARTITION BY traj_id ORDER BY t, x, y) AS before FROM points) SELECT traj_id, round(t, 3) AS t, y FROM p WHERE before IS NULL OR before <> y",
-    "expand_replicas": f"WITH n AS (SELECT {{RANGE8}} AS i) SELECT i * 1000000 + traj_id AS traj_id, round(min(t) + i * 30e0 * {DAY}, 3) AS t_start, count(*) AS n_points FROM points CROSS JOIN n GROUP BY traj_id, i",
+    "expand_replicas": f"WITH n AS (SELECT {{REPLICAS}} AS i) SELECT i * 1000000 + traj_id AS traj_id, round(min(t) + i * 30e0 * {DAY}, 3) AS t_start, count(*) AS n_points FROM points CROSS JOIN n GROUP BY traj_id, i",
     "sbb_size_profile": f"WITH g AS (SELECT traj_id, floor(t / {DAY}) AS d, max(x) - min(x) AS w, max(y) - min(y) AS h, max(t) - min(t) AS dt FROM points GROUP BY traj_id, floor(t / {DAY})) SELECT count(*) AS pieces, round(avg(w * h), 6) AS mean_area, round(avg(dt), 3) AS mean_time, round(avg(w * h * dt), 2) AS mean_volume FROM g",
     "bounds_mbr": f"WITH {CLIP}, m AS (SELECT traj_id, min(least(x1, x2)) AS xmin, max(greatest(x1, x2)) AS xmax, min(least(y1, y2)) AS ymin, max(greatest(y1, y2)) AS ymax, max(t2) - min(t1) AS h FROM clip GROUP BY traj_id), q AS (SELECT traj_id AS qid, xmin AS a1, xmax AS a2, ymin AS b1, ymax AS b2, h AS qh FROM m WHERE traj_id % 50 = 0) SELECT qid, traj_id, round(sqrt(power(greatest(xmin - a2, 0, a1 - xmax), 2) + power(greatest(ymin - b2, 0, b1 - ymax), 2)) * qh, 4) AS opt, round(sqrt(power(greatest(xmax - a1, a2 - xmin), 2) + power(greatest(ymax - b1, b2 - ymin), 2)) * qh, 4) AS pes FROM q CROSS JOIN m",
 }
@@ -151,9 +152,11 @@ SQL: dict[str, str] = {
 SPARK_TOKENS = {
     "{SLAB}": f"explode(sequence(CAST(floor(t1 / {DAY}) AS BIGINT), CAST(floor(t2 / {DAY}) AS BIGINT)))",
     "{GUARD}": f"q.slab = s.slab AND CAST(floor(greatest(s.t1, q.t1) / {DAY}) AS BIGINT) = q.slab",
-    "{RANGE8}": "explode(sequence(0, 7))",
+    # eight intervals have nine ends
+    "{SAMPLES}": "explode(sequence(0, 8))",
+    "{REPLICAS}": "explode(sequence(0, 9))",
 }
-DUCK_TOKENS = {"{SLAB}": "0", "{GUARD}": "TRUE", "{RANGE8}": "unnest(generate_series(0, 7))"}
+DUCK_TOKENS = {"{SLAB}": "0", "{GUARD}": "TRUE", "{SAMPLES}": "unnest(generate_series(0, 8))", "{REPLICAS}": "unnest(generate_series(0, 9))"}
 RELATION = re.compile(r"(?<![\w.])(points|seg|boxes)(?![\w.])")
 
 
@@ -193,7 +196,7 @@ def duck_sql(name: str) -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     texts = SQL | {k: spark for k, (spark, _) in OTHERWISE.items() if spark}
     out = {name: functools.partial(run_sql, sql) for name, sql in texts.items()}
-    return out | regions.QUERIES | live.QUERIES | cutters.queries() | similarity.queries()
+    return out | {"range_cylinder": ranges.range_cylinder} | regions.QUERIES | live.QUERIES | cutters.queries() | similarity.queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -57,6 +57,8 @@ def live_segments(points: DataFrame) -> DataFrame:
 def _work_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         import tempfile
 
         conf = tempfile.mkdtemp(prefix="wayfare-")
