@@ -72,16 +72,18 @@ def cuts(values: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int
         yield b, int(edge[b]), int(edge[b + 1])
 
 
-def chunk_row(ids: np.ndarray, texts: list[bytes]) -> tuple[bytes, bytes, bytes]:
+def chunk_row(ids: np.ndarray, null: np.ndarray, texts: list[bytes]) -> tuple[bytes, bytes, bytes]:
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    return pack(ids.astype(np.int64)), pack(lens), squeeze(b"".join(texts), 3)
+    return pack(np.concatenate((ids.astype(np.int64), null.astype(np.int64)))), pack(lens), squeeze(b"".join(texts), 3)
 
 
-def chunk_texts(ids: bytes, lens: bytes, blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+def chunk_texts(ids: bytes, lens: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, whether each is null, texts."""
     size = unpack(lens, np.int64)
     end = np.cumsum(size)
     data = release(blob)
-    return unpack(ids, np.int64), [data[e - n : e] for e, n in zip(end.tolist(), size.tolist(), strict=True)]
+    both = unpack(ids, np.int64).reshape(2, -1)
+    return both[0], both[1].astype(bool), [data[e - n : e] for e, n in zip(end.tolist(), size.tolist(), strict=True)]
 
 
 def chunked(docs: DataFrame, units: Callable[[list[bytes]], int], name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -90,10 +92,10 @@ def chunked(docs: DataFrame, units: Callable[[list[bytes]], int], name: str, chu
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
         for rows, texts in text_slices(batches, chunk_bytes):
-            ids = ids_of(rows)
-            order = np.argsort(ids, kind="stable")
+            ids, null = ids_of(rows)
+            order = np.lexsort((null, ids))
             texts = [texts[i] for i in order]
-            values = (at, sum(map(len, texts)), units(texts), *chunk_row(ids[order], texts))
+            values = (at, sum(map(len, texts)), units(texts), *chunk_row(ids[order], null[order], texts))
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=[x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
             at += 1
 

@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Sorts after every real id; stands for a null doc_id inside the operators.
+#: The value of a null doc_id inside the operators, beside a flag, since it is a legal id too; so null sorts last.
 NO_ID = np.iinfo(np.int64).max
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; a temporary one only where none is set and all runs on this machine (tests)."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         conf = tempfile.mkdtemp(prefix="wayfare-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -63,7 +65,7 @@ def buckets_for(rows: int, each: int, least: int = 8) -> int:
     return max(least, -(-int(rows) // each))
 
 
-def ranked(df: DataFrame, group: str, order: list, out: str, each: int = 200_000) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list, out: str, each: int = 50_000) -> DataFrame:
     """Add `out`: a gapless rank from 0 within `group`, without one task per group.
 
     Rows are dealt by a hash of `order` into sub-buckets; a rank inside the sub-bucket plus
@@ -72,7 +74,7 @@ def ranked(df: DataFrame, group: str, order: list, out: str, each: int = 200_000
     """
     from pyspark.sql import Window
 
-    n = buckets_for(df.count(), each)
+    n = buckets_for(df.count(), each, 32)
     dealt = df.withColumn("__sub", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
     counts = dealt.groupBy(group, "__sub").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(group).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,6 +90,13 @@ def ranked(df: DataFrame, group: str, order: list, out: str, each: int = 200_000
     )
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+    """big joined with small on keys, the rows of a hot key dealt over `salts` tasks by a hash of `by`; small has a key once."""
+    dealt = big.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    every = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(every, [*keys, "__salt"], how).drop("__salt")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
     """Runs of rows whose texts (column "text"; null reads as empty) come to about `limit` bytes."""
     rows: list[pa.RecordBatch] = []
@@ -134,10 +143,11 @@ def column(rows: list[pa.RecordBatch], name: str) -> pa.ChunkedArray:
     return pa.chunked_array([b.column(b.schema.get_field_index(name)) for b in rows])
 
 
-def ids_of(rows: list[pa.RecordBatch]) -> np.ndarray:
-    """doc_id as int64; null becomes NO_ID."""
-    return column(rows, "doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
+def ids_of(rows: list[pa.RecordBatch], name: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+    """The ids as int64, NO_ID for null, and whether each is null."""
+    ids = column(rows, name).cast(pa.int64())
+    return ids.fill_null(NO_ID).to_numpy(), ids.is_null().to_numpy().astype(bool)
 
 
-def id_array(ids: np.ndarray) -> pa.Array:
-    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+def id_array(ids: np.ndarray, null: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=null)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._hashing import SPACE, WORD_BASE, Prefix, U, Words, mix
+from ._hashing import SPACE, Words
 from ._tables import beside, column, text_slices, written
 
 SLICE_BYTES = 1 << 20
@@ -36,18 +36,12 @@ def _per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def repeated_words(w: Words) -> np.ndarray:
     """By text, the words in three-word windows that occur twice or more in the text."""
-    ok = w.inside(3)
-    if not ok.any():
+    at, run = w.tuples(w.numbers()[0], 3)
+    if not len(at):
         return np.zeros(len(w.n_words), np.int64)
-    at = np.flatnonzero(ok)
-    key = mix(Prefix(w.hashes(), WORD_BASE).windows(3)[at]) ^ mix(w.doc[at].astype(np.uint64) + U(1))
-    order = np.argsort(key)
-    key = key[order]
-    same = key[1:] == key[:-1]
-    twice = np.zeros(len(key), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    hit = at[order[twice]]
+    # runs are numbered exactly, and each text has its own
+    key = np.unique(run << 32 | w.doc[at], return_inverse=True)[1]
+    hit = at[np.bincount(key)[key] > 1]
     covered = np.zeros(len(w.doc), bool)
     for d in range(3):
         covered[hit + d] = True

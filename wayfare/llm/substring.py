@@ -5,12 +5,13 @@ run, at a multiple of BLOCK; the other has the same words at some rolling window
 
 1. Blocks are the index, rolling windows the probes. Both travel as short hashes to hash buckets,
    which answer which hashes a block of one document shares with a window of another.
-2. Around each hit, all WINDOW-word windows that contain it are extended to: their 96-bit hashes
-   meet in buckets, where the smallest doc_id of each is found.
+2. Around each hit, all WINDOW-word windows that contain it are extended to: 128-bit BLAKE2b digests of their
+   words meet in buckets, where the smallest doc_id of each is found.
 3. A window that also starts in a document with a smaller doc_id is removed; overlapping ones
    join to maximal repeats.
 
-Short hashes only pick candidates, so their collisions cost time and change nothing.
+Short hashes only pick candidates, so their collisions cost time and change nothing; the digests are of the words
+themselves, so different windows are not taken for equal.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ from ._chunks import (
     unpack_bits,
     unpack_sorted,
 )
-from ._hashing import CHECK_BASE, WORD_BASE, Prefix, U, Words, mix
-from ._tables import NO_ID, written
+from ._hashing import WORD_BASE, Prefix, U, Words, grouped, mix
+from ._tables import written
 
 WINDOW, BLOCK = 50, 25
 #: Words to a bucket of hashes.
@@ -47,7 +48,7 @@ BUCKET_WORDS = 2_500_000
 
 PROBES = "bucket int, chunk long, n long, hashes binary, flags binary"
 HITS = "chunk long, bucket int, n long, hits binary"
-STEP2 = "kind int, doc_id long, n_words long, n_removed long, kept_sha256 string, chunk long, bucket int, n long, hashes binary, checks binary, owners binary, ids binary, lens binary, blob binary, windows binary"
+STEP2 = "kind int, doc_id long, n_words long, n_removed long, kept_sha256 string, chunk long, bucket int, n long, hashes binary, checks binary, owners binary, nulls binary, ids binary, lens binary, blob binary, windows binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 DONE, SENT, LEFT = 0, 1, 2
 
@@ -74,7 +75,7 @@ def _send_probes(bits: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                _, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
+                *_, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
                 w = Words(texts)
                 at, h = probes(w, bits)
                 if not len(at):
@@ -118,18 +119,13 @@ def digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _window_hashes(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = w.hashes()
-    return mix(Prefix(h, WORD_BASE).windows(WINDOW)[at]), mix(Prefix(h ^ U(CHECK_BASE), CHECK_BASE).windows(WINDOW)[at]).astype(np.uint32)
-
-
 def _extend(bits: int, buckets: int):
     ranges, starts = bounds(buckets, bits), bounds(buckets)
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[dict] = []
         for r in left.to_pylist():
-            ids, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
+            ids, null, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
             w = Words(texts)
             hot = np.zeros(len(w.doc) + 1, np.int64)
             if right.num_rows:
@@ -149,22 +145,26 @@ def _extend(bits: int, buckets: int):
             keep = np.zeros(len(texts), bool)
             keep[w.doc[cand]] = True
             for i in np.flatnonzero(~keep).tolist():
-                words = texts[i].split()
-                out.append({"kind": DONE, "doc_id": None if ids[i] == NO_ID else int(ids[i]), "n_words": len(words), "n_removed": 0, "kept_sha256": digest(words)})
+                words = w.words[i]
+                out.append({"kind": DONE, "doc_id": None if null[i] else int(ids[i]), "n_words": len(words), "n_removed": 0, "kept_sha256": digest(words)})
             if not len(cand):
                 continue
             kept = np.flatnonzero(keep)
             flags = np.zeros(len(w.doc), bool)
             flags[cand] = True
             own = [texts[i] for i in kept]
-            i, n, b = chunk_row(ids[kept], own)
+            i, n, b = chunk_row(ids[kept], null[kept], own)
             out.append({"kind": LEFT, "chunk": r["chunk"], "ids": i, "lens": n, "blob": b, "windows": pack_bits(flags[keep[w.doc]])})
-            h1, h2 = _window_hashes(w, cand)
-            order, first, uniq = _groups(h1)
-            owner = np.minimum.reduceat(ids[w.doc[cand]][order], first)
-            check = h2[order[first]]
-            for b, s, e in cuts(uniq, starts):
-                out.append({"kind": SENT, "chunk": r["chunk"], "bucket": b, "n": e - s, "hashes": pack_sorted(uniq[s:e]), "checks": pack(check[s:e]), "owners": pack(owner[s:e])})
+            h = w.runs(cand, WINDOW)
+            order, first, _ = grouped(h)
+            uniq = h[order[first]]
+            # texts stand by doc_id, so the first of equal windows has the least
+            owner = w.doc[cand][order[first]]
+            for b, s, e in cuts(uniq[:, 0], starts):
+                out.append({
+                    "kind": SENT, "chunk": r["chunk"], "bucket": b, "n": e - s, "hashes": pack_sorted(uniq[s:e, 0]), "checks": pack(uniq[s:e, 1]),
+                    "owners": pack(ids[owner[s:e]]), "nulls": pack_bits(null[owner[s:e]]),
+                })
         return frame(STEP2, out)
 
     return extend
@@ -174,13 +174,14 @@ def _find_first(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     n = [r["n"] for r in rows]
     h = np.concatenate([unpack_sorted(r["hashes"]) for r in rows])
-    check = np.concatenate([unpack(r["checks"], np.uint32) for r in rows])
+    check = np.concatenate([unpack(r["checks"], np.uint64) for r in rows])
     owner = np.concatenate([unpack(r["owners"], np.int64) for r in rows])
-    order = np.lexsort((owner, check, h))
+    null = np.concatenate([unpack_bits(r["nulls"], r["n"]) for r in rows])
+    order = np.lexsort((null, owner, check, h))
     new = np.concatenate(([True], (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])))
-    least = owner[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+    least = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     later = np.zeros(len(h), bool)
-    later[order] = owner[order] > least
+    later[order] = (owner[order] != owner[least]) | (null[order] != null[least])
     parts = np.split(later, np.cumsum(n)[:-1])
     return frame(HITS, [{"chunk": r["chunk"], "bucket": r["bucket"], "n": r["n"], "hits": pack_bits(p)} for r, p in zip(rows, parts, strict=True) if p.any()])
 
@@ -191,28 +192,27 @@ def _remove(buckets: int):
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for r in left.to_pylist():
-            ids, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
+            ids, null, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
             w = Words(texts)
             at = np.flatnonzero(unpack_bits(r["windows"], len(w.doc)))
-            h, _ = _window_hashes(w, at)
-            order, first, uniq = _groups(h)
-            own = ids[w.doc[at]]
-            owner = np.minimum.reduceat(own[order], first)
-            later = np.zeros(len(uniq), bool)
-            where = {b: (s, e) for b, s, e in cuts(uniq, starts)}
+            h = w.runs(at, WINDOW)
+            order, first, group = grouped(h)
+            own = w.doc[at]
+            owner = own[order[first]][group]
+            later = np.zeros(len(first), bool)
+            where = {b: (s, e) for b, s, e in cuts(h[order[first], 0], starts)}
             for x in right.to_pylist():
                 s, e = where[x["bucket"]]
                 later[s:e] = unpack_bits(x["hits"], x["n"])
-            u = np.searchsorted(uniq, h)
-            gone = at[later[u] | (own > owner[u])]
+            gone = at[later[group] | (ids[own] != ids[owner]) | (null[own] != null[owner])]
             step = np.zeros(len(w.doc) + 1, np.int64)
             step[gone] += 1
             step[gone + WINDOW] -= 1
             keep = np.cumsum(step[:-1]) == 0
-            for i, text in enumerate(texts):
-                words, flags = text.split(), keep[w.first[i] : w.first[i + 1]]
+            for i, words in enumerate(w.words):
+                flags = keep[w.first[i] : w.first[i + 1]]
                 left_over = words if flags.all() else [x for x, k in zip(words, flags.tolist(), strict=True) if k]
-                out.append({"doc_id": None if ids[i] == NO_ID else int(ids[i]), "n_words": len(words), "n_removed": len(words) - len(left_over), "kept_sha256": digest(left_over)})
+                out.append({"doc_id": None if null[i] else int(ids[i]), "n_words": len(words), "n_removed": len(words) - len(left_over), "kept_sha256": digest(left_over)})
         return frame(RESULT, out)
 
     return remove
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     hits = written(sent.groupBy("bucket").applyInArrow(_find_hits, HITS), "repeat-hits", "uncompressed")
     step = chunks.select("chunk", "ids", "lens", "blob").groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_extend(bits, buckets), STEP2)
     step = written(step, "repeat-windows", "uncompressed")
-    later = step.filter(F.col("kind") == SENT).select("chunk", "bucket", "n", "hashes", "checks", "owners").groupBy("bucket").applyInArrow(_find_first, HITS)
+    later = step.filter(F.col("kind") == SENT).select("chunk", "bucket", "n", "hashes", "checks", "owners", "nulls").groupBy("bucket").applyInArrow(_find_first, HITS)
     later = written(later, "repeat-later", "uncompressed")
     left = step.filter(F.col("kind") == LEFT).select("chunk", "ids", "lens", "blob", "windows")
     cut = left.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(_remove(buckets), RESULT)

@@ -4,12 +4,14 @@ Sorting every suffix of a corpus would move it many times over. Equal DEPTH-byte
 same smallest GRAM-byte hash at the same place (their anchor), so only windows around anchors
 that occur twice can be equal. A run of windows with one anchor is a span.
 
-1. Anchors meet in hash buckets. A span whose bytes are those of an earlier span goes as a whole.
+1. Anchors meet in hash buckets. A span whose bytes are those of an earlier span goes as a whole: equal
+   spans are told by 128-bit BLAKE2b digests of their bytes, so that a hot passage is sorted once, not once a copy.
    An anchor that stands in one kind of span only is done. The first of each kind is left over
    where an anchor stands in several kinds: copies that differ nearby.
 2. The left-over spans meet by anchor. Their suffixes are sorted by mergesort; two suffixes are
    compared by a binary search for their common extension on prefix polynomial hashes.
-   Neighbours that agree in DEPTH bytes by hash are verified byte by byte.
+   Neighbours are then compared byte by byte: equal ones are told by their bytes alone, and an order that a
+   collision of hashes has spoilt is noticed and made anew from the bytes.
    Anchors in very many kinds of span send single windows, dealt by their own hash, instead.
 3. Windows that also start earlier are removed; overlapping ones join to maximal spans.
 """
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from ._chunks import bounds, chunk_row, chunk_texts, chunked, cuts, frame, pack, pack_bits, pack_sorted, squeeze, unpack, unpack_bits, unpack_sorted
 from ._chunks import release as unsqueeze
-from ._hashing import BYTE_BASE, Prefix, U, mix
-from ._tables import NO_ID, written
+from ._hashing import BYTE_BASE, Prefix, U, digests, grouped, mix
+from ._tables import written
 
 DEPTH, GRAM = 100, 32
 #: Every byte of a chunk takes about a hundred bytes of memory on the way.
@@ -42,9 +44,9 @@ MANY_KINDS = 256
 ANCHOR_BITS = 48
 POSITION = (1 << 30) - 1
 
-ANCHORS = "bucket int, chunk long, n long, grams binary, spans binary, docs binary, positions binary"
+ANCHORS = "bucket int, chunk long, n long, grams binary, spans binary, checks binary, docs binary, nulls binary, positions binary"
 STATES = "chunk long, bucket int, n long, gone binary, left binary, many binary"
-STEP2 = "kind int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, chunk long, bucket int, n long, routes binary, docs binary, positions binary, counts binary, bytes binary, ids binary, lens binary, blob binary, gone binary, left_at binary, left_n binary, left_to binary"
+STEP2 = "kind int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, chunk long, bucket int, n long, routes binary, docs binary, nulls binary, positions binary, counts binary, bytes binary, ids binary, lens binary, blob binary, gone binary, left_at binary, left_n binary, left_to binary"
 LATER = "chunk long, bucket int, n long, later binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 DONE, SENT, LEFT = 0, 1, 2
@@ -90,9 +92,9 @@ class Spans:
         return np.argsort(self.gram >> U(64 - ANCHOR_BITS), kind="stable")
 
     def kinds(self) -> np.ndarray:
-        """Hashes of the spans' bytes and of where the anchor stands in them."""
-        h = self.prefix.span(self.lo, self.hi + DEPTH)
-        return mix(h + mix(((self.anchor - self.lo) * 128 + (self.hi - self.lo)).astype(np.uint64) + U(1)))
+        """Digests of the spans' bytes and of where the anchor stands in them."""
+        where = zip(self.lo.tolist(), (self.hi + DEPTH).tolist(), (self.anchor - self.lo).tolist(), strict=True)
+        return digests(self.raw[s:e] + bytes((a,)) for s, e, a in where)
 
     def docs(self) -> np.ndarray:
         return np.searchsorted(self.doc_start, self.lo, "right") - 1
@@ -104,14 +106,14 @@ def _send_anchors(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
+                ids, null, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
                 x = Spans(texts)
                 order = x.order()
                 gram, kind, doc = (x.gram >> U(64 - ANCHOR_BITS))[order], x.kinds()[order], x.docs()[order]
                 pos = (x.lo[order] - x.doc_start[doc]).astype(np.uint32)
-                own = ids[doc]
+                own, none = ids[doc], null[doc]
                 rows = [
-                    {"bucket": b, "chunk": r["chunk"], "n": e - s, "grams": pack_sorted(gram[s:e]), "spans": pack(kind[s:e]), "docs": pack(own[s:e]), "positions": pack(pos[s:e])}
+                    {"bucket": b, "chunk": r["chunk"], "n": e - s, "grams": pack_sorted(gram[s:e]), "spans": pack(kind[s:e, 0]), "checks": pack(kind[s:e, 1]), "docs": pack(own[s:e]), "nulls": pack_bits(none[s:e]), "positions": pack(pos[s:e])}
                     for b, s, e in cuts(gram, starts)
                 ]
                 if rows:
@@ -134,15 +136,17 @@ def _judge_anchors(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     gram = np.concatenate([unpack_sorted(r["grams"]) for r in rows])
     kind = np.concatenate([unpack(r["spans"], np.uint64) for r in rows])
+    check = np.concatenate([unpack(r["checks"], np.uint64) for r in rows])
     doc = np.concatenate([unpack(r["docs"], np.int64) for r in rows])
+    null = np.concatenate([unpack_bits(r["nulls"], r["n"]) for r in rows])
     pos = np.concatenate([unpack(r["positions"], np.uint32) for r in rows])
-    order = np.lexsort((pos, doc, kind, gram))
-    g, k, d, p = gram[order], kind[order], doc[order], pos[order]
-    new_gram, new_kind = _starts_of(g), _starts_of(g, k)
+    order = np.lexsort((pos, null, doc, check, kind, gram))
+    g, d, z, p = gram[order], doc[order], null[order], pos[order]
+    new_gram, new_kind = _starts_of(g), _starts_of(g, kind[order], check[order])
     kind_no, gram_no = np.cumsum(new_kind) - 1, np.cumsum(new_gram) - 1
     first = np.flatnonzero(new_kind)[kind_no]
     kinds = np.add.reduceat(new_kind.astype(np.int64), np.flatnonzero(new_gram))[gram_no]
-    gone = (d != d[first]) | (p != p[first])
+    gone = (d != d[first]) | (z != z[first]) | (p != p[first])
     left = ~gone & (kinds > 1)
     flags = np.zeros((3, len(g)), bool)
     flags[:, order] = gone, left, left & (kinds > MANY_KINDS)
@@ -160,9 +164,9 @@ def _windows(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(lo) else np.zeros(0, np.int64)
 
 
-def _piece_rows(chunk: int, starts: np.ndarray, route: np.ndarray, doc_id: np.ndarray, pos: np.ndarray, lo: np.ndarray, n: np.ndarray, buf: np.ndarray, plus: int = 0) -> list[dict]:
+def _piece_rows(chunk: int, starts: np.ndarray, route: np.ndarray, doc_id: np.ndarray, null: np.ndarray, pos: np.ndarray, lo: np.ndarray, n: np.ndarray, buf: np.ndarray, plus: int = 0) -> list[dict]:
     return [
-        {"kind": SENT, "chunk": chunk, "bucket": b + plus, "n": int(n[s:e].sum()), "routes": pack_sorted(route[s:e]), "docs": pack(doc_id[s:e]), "positions": pack(pos[s:e].astype(np.uint32)), "counts": pack(n[s:e].astype(np.uint32)), "bytes": squeeze(buf[_windows(lo[s:e], n[s:e] + DEPTH - 1)].tobytes())}
+        {"kind": SENT, "chunk": chunk, "bucket": b + plus, "n": int(n[s:e].sum()), "routes": pack_sorted(route[s:e]), "docs": pack(doc_id[s:e]), "nulls": pack_bits(null[s:e]), "positions": pack(pos[s:e].astype(np.uint32)), "counts": pack(n[s:e].astype(np.uint32)), "bytes": squeeze(buf[_windows(lo[s:e], n[s:e] + DEPTH - 1)].tobytes())}
         for b, s, e in cuts(route, starts)
     ]
 
@@ -173,7 +177,7 @@ def _resolve(buckets: int):
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[dict] = []
         for r in left.to_pylist():
-            ids, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
+            ids, null, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
             keep = np.zeros(len(texts), bool)
             if right.num_rows:
                 x = Spans(texts)
@@ -189,31 +193,32 @@ def _resolve(buckets: int):
                 keep[doc[gone | lone]] = True
             for i in np.flatnonzero(~keep).tolist():
                 t = texts[i]
-                out.append({"kind": DONE, "doc_id": None if ids[i] == NO_ID else int(ids[i]), "n_bytes": len(t), "n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(t).hexdigest()})
+                out.append({"kind": DONE, "doc_id": None if null[i] else int(ids[i]), "n_bytes": len(t), "n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(t).hexdigest()})
             if not keep.any():
                 continue
             kept = np.flatnonzero(keep)
-            i, n, b = chunk_row(ids[kept], [texts[k] for k in kept])
+            i, n, b = chunk_row(ids[kept], null[kept], [texts[k] for k in kept])
             new_start = np.zeros(len(texts) + 1, np.int64)
             np.cumsum(np.where(keep, np.diff(x.doc_start), 0), out=new_start[1:])
             moved = new_start[doc] - x.doc_start[doc]  # from the chunk's to the left-over texts' positions
             covered = np.zeros(int(new_start[-1]) + 1, np.int64)
             covered[x.lo[gone] + moved[gone]] += 1
             np.add.at(covered, x.hi[gone] + moved[gone] + DEPTH, -1)
-            own = ids[doc]
+            own, none = ids[doc], null[doc]
             a = np.flatnonzero(lone & ~many)
             a = a[np.argsort(x.gram[a], kind="stable")]
             size = x.hi - x.lo + 1
-            out += _piece_rows(r["chunk"], starts, x.gram[a], own[a], x.lo[a] - x.doc_start[doc[a]], x.lo[a], size[a], x.buf)
+            out += _piece_rows(r["chunk"], starts, x.gram[a], own[a], none[a], x.lo[a] - x.doc_start[doc[a]], x.lo[a], size[a], x.buf)
             m = np.flatnonzero(many)
             w, wd = _windows(x.lo[m], size[m]), np.repeat(doc[m], size[m])
-            h = mix(x.prefix.span(w, w + DEPTH))
-            route, first, back = np.unique(h, return_index=True, return_inverse=True)
-            wp = w - x.doc_start[wd]
-            again = (ids[wd] != ids[wd[first]][back]) | (wp != wp[first][back])  # texts stand by doc_id, so the first is the least
+            h = digests(x.raw[k : k + DEPTH] for k in w.tolist())
+            by, start, back = grouped(h)
+            first = by[start]  # texts stand by doc_id, so the first is the least
+            route, wp = h[first, 0], w - x.doc_start[wd]
+            again = (ids[wd] != ids[wd[first]][back]) | (null[wd] != null[wd[first]][back]) | (wp != wp[first][back])
             np.add.at(covered, (w + np.repeat(moved[m], size[m]))[again], 1)
             np.add.at(covered, (w + np.repeat(moved[m], size[m]))[again] + DEPTH, -1)
-            out += _piece_rows(r["chunk"], starts, route, ids[wd[first]], wp[first], w[first], np.ones(len(first), np.int64), x.buf, buckets)
+            out += _piece_rows(r["chunk"], starts, route, ids[wd[first]], null[wd[first]], wp[first], w[first], np.ones(len(first), np.int64), x.buf, buckets)
             out.append({
                 "kind": LEFT, "chunk": r["chunk"], "ids": i, "lens": n, "blob": b, "gone": pack_bits(np.cumsum(covered)[:-1] > 0),
                 "left_at": pack(np.concatenate((x.lo[a] + moved[a], w[first] + np.repeat(moved[m], size[m])[first]))), "left_n": pack(np.concatenate((size[a], np.ones(len(first), np.int64)))),
@@ -302,26 +307,38 @@ class Suffixes:
             busy = busy[size[busy] > width]
         return order
 
-    def same_as_previous(self, order: np.ndarray) -> np.ndarray:
-        """Whether each suffix in order agrees with the one before it in DEPTH bytes: by hash, then byte by byte."""
-        out = np.zeros(len(order), bool)
-        a, b = order[1:], order[:-1]
-        maybe = np.flatnonzero(self.whole[a] == self.whole[b])
-        for part in np.array_split(maybe, max(1, len(maybe) // 100_000)):
-            k = np.arange(DEPTH)
-            out[part + 1] = (self.text[self.at[a[part]][:, None] + k] == self.text[self.at[b[part]][:, None] + k]).all(axis=1)
-        return out
-
-
-def _later(text: np.ndarray, at: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    def verified(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order, made anew from the bytes if any neighbours stand wrongly, and whether each has the DEPTH bytes of the one before it."""
+        for again in (False, True):
+            same = np.zeros(len(order), bool)
+            right = True
+            for part in np.array_split(np.arange(1, len(order)), max(1, len(order) // 100_000)):
+                k = np.arange(DEPTH)
+                a, b = (self.text[self.at[order[x]][:, None] + k] for x in (part - 1, part))
+                differ = a != b
+                at, row = differ.argmax(axis=1), np.arange(len(part))
+                same[part] = ~differ[row, at]
+                right &= bool((same[part] | (a[row, at] < b[row, at])).all())
+            if right:
+                return order, same
+            assert not again
+            windows = np.ascontiguousarray(self.text[self.at[:, None] + np.arange(DEPTH)]).view(f"V{DEPTH}").ravel()
+            order = np.lexsort((self.rank, np.unique(windows, return_inverse=True)[1].ravel()))
+        raise AssertionError
+
+
+def _later(text: np.ndarray, at: np.ndarray, doc: np.ndarray, null: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Whether each window's bytes also start earlier, by the sorted suffixes."""
     rank = np.zeros(len(at), np.int64)
-    rank[np.lexsort((pos, doc))] = np.arange(len(at))
+    rank[np.lexsort((pos, null, doc))] = np.arange(len(at))
     s = Suffixes(text, at, rank)
-    order = s.sort()
-    head = order[np.maximum.accumulate(np.where(s.same_as_previous(order), 0, np.arange(len(order))))]
+    order, same = s.verified(s.sort())
+    # the earliest of equal windows, wherever it stands among them
+    run = np.cumsum(~same) - 1
+    least = np.minimum.reduceat(rank[order], np.flatnonzero(~same))[run]
+    head = np.argsort(rank)[least]
     out = np.zeros(len(at), bool)
-    out[order] = (doc[order] != doc[head]) | (pos[order] != pos[head])
+    out[order] = (doc[order] != doc[head]) | (null[order] != null[head]) | (pos[order] != pos[head])
     return out
 
 
@@ -329,6 +346,7 @@ def _sort_spans(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     route = np.concatenate([unpack_sorted(r["routes"]) for r in rows])
     doc = np.concatenate([unpack(r["docs"], np.int64) for r in rows])
+    null = np.concatenate([unpack_bits(r["nulls"], len(unpack(r["docs"], np.int64))) for r in rows])
     pos = np.concatenate([unpack(r["positions"], np.uint32) for r in rows]).astype(np.int64)
     n = np.concatenate([unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
     text = np.frombuffer(b"".join(unsqueeze(r["bytes"]) for r in rows), np.uint8)
@@ -349,7 +367,7 @@ def _sort_spans(table: pa.Table) -> pa.Table:
         p = order[first:end]
         own = size[p]
         part = text[_windows(begin[p], own)]
-        later[_windows(window[p], n[p])] = _later(part, _windows(np.cumsum(own) - own, n[p]), np.repeat(doc[p], n[p]), _windows(pos[p], n[p]))
+        later[_windows(window[p], n[p])] = _later(part, _windows(np.cumsum(own) - own, n[p]), np.repeat(doc[p], n[p]), np.repeat(null[p], n[p]), _windows(pos[p], n[p]))
         first = end
     out, start = [], 0
     for r in rows:
@@ -363,7 +381,7 @@ def _sort_spans(table: pa.Table) -> pa.Table:
 def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
     out = []
     for r in left.to_pylist():
-        ids, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
+        ids, null, texts = chunk_texts(r["ids"], r["lens"], r["blob"])
         total = sum(map(len, texts))
         step = np.zeros(total + 1, np.int64)
         at, n, bucket = unpack(r["left_at"], np.int64), unpack(r["left_n"], np.int64), unpack(r["left_to"], np.int64)
@@ -379,7 +397,7 @@ def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
             g = gone[begin:end]
             spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (len(g) > 0 and g[0]))
             kept = np.frombuffer(t, np.uint8)[~g].tobytes() if spans else t
-            out.append({"doc_id": None if ids[i] == NO_ID else int(ids[i]), "n_bytes": len(t), "n_removed": len(t) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()})
+            out.append({"doc_id": None if null[i] else int(ids[i]), "n_bytes": len(t), "n_removed": len(t) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()})
     return frame(RESULT, out)
 
 
@@ -396,7 +414,7 @@ def remove_repeated_bytes(docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) ->
     sent = need.mapInArrow(_send_anchors(buckets), ANCHORS)
     states = written(sent.groupBy("bucket").applyInArrow(_judge_anchors, STATES), "suffix-states", "uncompressed")
     step = written(need.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInArrow(_resolve(buckets), STEP2), "suffix-spans", "uncompressed")
-    pieces = step.filter(F.col("kind") == SENT).select("chunk", "bucket", "n", "routes", "docs", "positions", "counts", "bytes")
+    pieces = step.filter(F.col("kind") == SENT).select("chunk", "bucket", "n", "routes", "docs", "nulls", "positions", "counts", "bytes")
     later = written(pieces.groupBy("bucket").applyInArrow(_sort_spans, LATER), "suffix-later", "uncompressed")
     left = step.filter(F.col("kind") == LEFT).select("chunk", "ids", "lens", "blob", "gone", "left_at", "left_n", "left_to")
     done = left.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(_remove, RESULT)

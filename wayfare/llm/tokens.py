@@ -105,6 +105,6 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
             words = [t.split() for t in texts]
             n = np.fromiter(map(len, words), np.int64, len(words))
             tokens = np.fromiter((sum(map(counter.__getitem__, w)) for w in words), np.int64, len(words))
-            yield pa.RecordBatch.from_arrays([id_array(ids_of(rows)), pa.array(n), pa.array(tokens)], names=["doc_id", "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([id_array(*ids_of(rows)), pa.array(n), pa.array(tokens)], names=["doc_id", "n_words", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
