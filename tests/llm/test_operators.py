@@ -1,6 +1,7 @@
 """Operators against brute force on small documents with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import heapq
 import random
 import re
 
@@ -87,9 +88,24 @@ def test_sharding(spark, texts):
 
 
 def test_lpt_is_even():
-    placed = sharding.lpt([(k, str(k)) for k in range(1, 101)], 4)
-    load = [sum(int(k) for k, s in placed.items() if s == x) for x in range(4)]
-    assert max(load) <= (4 / 3 - 1 / 12) * 5050 / 4  # Graham's bound for four shards
+    placed = dict(sharding.lpt(((k, 1) for k in range(100, 0, -1)), 4))
+    load = [sum(k * got[s] for k, got in placed.items()) for s in range(4)]
+    assert sum(load) == 5050 and max(load) <= (4 / 3 - 1 / 12) * 5050 / 4  # Graham's bound for four shards
+
+
+def test_lpt_is_that_of_a_heap():
+    rng = random.Random(8)
+    for _ in range(60):
+        sizes = {rng.randint(1, 60): rng.choice([1, 2, 5, 37, 500]) for _ in range(12)}
+        shards = rng.randint(1, 7)
+        heap = [(0, s) for s in range(shards)]
+        for size, got in sharding.lpt(iter(sorted(sizes.items(), reverse=True)), shards):
+            want = [0] * shards
+            for _ in range(sizes[size]):
+                load, s = heap[0]
+                heapq.heapreplace(heap, (load + size, s))
+                want[s] += 1
+            assert got == want
 
 
 def test_mixing(spark, texts):

@@ -28,6 +28,8 @@ from ._tables import ranked, read_slices, written
 PERIOD = 1000
 #: Blocks of the plan that the driver holds at once.
 PLAN_SLICE = 200_000
+#: Bytes of text to a range of places.
+RANGE_BYTES = 32 << 20
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
@@ -167,18 +169,19 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, blo
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
     """All rows of docs, all columns as they are, sorted by their place in the mix.
 
-    Rows that share a doc_id and source stand together at the first one's place. Partitions, spark.sql.shuffle.partitions
-    of them, are equal ranges of places, so files read in order give the mix; a hot source is spread over all of them.
+    Rows that share a doc_id and source stand together at the first one's place. Partitions are equal ranges of places, each
+    of about RANGE_BYTES of text or less where that gives every core one, so files read in order give the mix; a hot source is spread over all of them.
     """
     key = [F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(""))]
     placed = mix_sources(docs, weights, **options)
-    rows = docs.count()
+    size = F.octet_length(F.col("text").cast("string")) if "text" in docs.columns else F.lit(1 << 10)
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(size)).first()
     # a place for each distinct (doc_id, source); rows that repeat it follow one another
     place = placed.groupBy(F.col("doc_id").alias("__id"), F.coalesce("source", F.lit("")).alias("__source")).agg(F.min("position").alias("__position"))
     place = written(place, "mix-places")
     # places are gapless, so a row's range is known without sampling the joined texts
     n = max(1, rows)
-    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n))
+    parts = min(n, max(-(-(size or 0) // RANGE_BYTES), docs.sparkSession.sparkContext.defaultParallelism))
     # merged at every size, since places grow with the corpus
     joined = docs.join(place.hint("merge"), key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__source")))
     dealt = joined.repartitionById(parts, F.expr(f"cast(__position * {parts} div {n} as int)"))

@@ -1,42 +1,68 @@
-"""Sharding by longest processing time: equal texts stay together, bytes come out near equal."""
+"""Sharding by longest processing time: equal texts stay together, bytes come out near equal.
+
+Groups go largest first, each to the least loaded shard. Groups of one size may change places, so the driver goes over
+sizes, not groups: of a run of equal sizes, whole layers are filled at once and the rest goes through the heap, which gives each shard
+as many groups as one by one. The groups of a size then take their shards by rank.
+"""
 
 from __future__ import annotations
 
 import heapq
-import json
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._tables import ranked, written
+from ._tables import ranked, read_slices, salted_join, written
 
-#: Groups above total / (shards * LARGE) are placed one by one: at most shards * LARGE of them.
-LARGE = 64
-#: The other groups are dealt by hash into this many bundles, placed whole ...
-BUNDLES = 4096
-#: ... and one group in FINE_SHARE into fine bundles, the small weights that level the end.
-FINE, FINE_SHARE = 1024, 50
+#: Sizes whose placement the driver holds at once.
+PLAN_SLICE = 50_000
 #: A part's number in the name of its file.
 PART = r"part-(\d+)[^/]*$"
 
 
-def lpt(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """Largest item first, each to the least loaded shard (ties: lowest shard, then name)."""
-    heap = [(0, s) for s in range(shards)]
-    placed = {}
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        load, s = heap[0]
-        heapq.heapreplace(heap, (load + size, s))
-        placed[name] = s
-    return placed
+def lpt(sizes: Iterator[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """Of (size, groups) by falling size: each size and how many of its groups each shard gets. Equal loads: the lowest shard."""
+    loads = [0] * shards
+    for size, n in sizes:
+        below = lambda level: [max(0, -(-(level - x) // size)) for x in loads]  # noqa: B023, E731
+        # the highest level that the groups fill: every shard gets groups while its load is below it
+        low, high = min(loads), max(loads) + size * (n // shards + 1)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if sum(below(mid)) <= n else (low, mid - 1)
+        got = below(low)
+        heap = [(x + k * size, s) for s, (x, k) in enumerate(zip(loads, got, strict=True))]
+        heapq.heapify(heap)
+        for _ in range(n - sum(got)):
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + size, s))
+            got[s] += 1
+        loads = [x + k * size for x, k in zip(loads, got, strict=True)]
+        yield size, got
+
+
+def _written_plan(spark: SparkSession, plan: Iterator[tuple[int, list[int]]]) -> DataFrame:
+    """bytes, until: the rank at which each shard's groups of that size end."""
 
+    def ends() -> Iterator[tuple[int, list[int]]]:
+        for size, got in plan:
+            until = [0]
+            for k in got:
+                until.append(until[-1] + k)
+            yield size, until[1:]
 
-def _lookup(docs: DataFrame, placed: dict[str, int], key: str) -> DataFrame:
-    """At most LARGE * shards or BUNDLES + FINE rows, so it may be broadcast."""
-    rows = json.dumps([{"k": k, "s": s} for k, s in placed.items()])
-    made = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<k: string, s: int>>")))
-    return made.select(F.col("k").alias(key), F.col("s").alias(f"{key}_shard"))
+    def slices() -> Iterator[DataFrame]:
+        rows = ends()
+        part = list(islice(rows, PLAN_SLICE))
+        while True:
+            yield spark.createDataFrame(part, "bytes long, until array<long>")
+            if not (part := list(islice(rows, PLAN_SLICE))):
+                return
+
+    return read_slices(spark, slices(), "bytes long, until array<long>", "shard-plan")
 
 
 def _ranked_by_place(put: DataFrame, each: int = 200_000) -> DataFrame:
@@ -58,8 +84,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, in_order: bool = False
 
     size is the text's UTF-8 bytes plus 8. Documents with equal texts get one shard; a null text
     counts as empty. Groups are weighed by one aggregation on the text's SHA-256 (partial sums first,
-    so a hot text costs no skew). Groups over total / (shards * 64) are placed by themselves, the
-    rest as hash bundles: the driver's heap sees at most shards * 64 + 5120 items at any size.
+    so a hot text costs no skew), and every group is placed by its own size. The driver streams over the distinct sizes of groups: as
+    they differ, at most the square root of twice the bytes, whatever the number of groups.
     No rows give no rows; doc_id may be null or repeated; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -75,28 +101,17 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, in_order: bool = False
     kept = ["file", "row"] if in_order else []
     rows = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *place).select(
-            *kept, "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.sha2("text", 256).alias("grp")
+            *kept, "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("grp")
         ),
         "shard-rows",
     )
-    h = F.xxhash64("grp")
-    bundle = F.when(F.pmod(h, F.lit(FINE_SHARE)) == 0, F.concat(F.lit("f"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(FINE)))).otherwise(
-        F.concat(F.lit("b"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(BUNDLES)))
-    )
-    groups = written(rows.groupBy("grp").agg(F.sum("size").alias("bytes")).withColumn("bundle", bundle), "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    cutoff = total / (shards * LARGE)
-    large = [(r.bytes, r.grp) for r in groups.filter(F.col("bytes") > cutoff).select("bytes", "grp").collect()]
-    rest = [(r.bytes, r.bundle) for r in groups.filter(F.col("bytes") <= cutoff).groupBy("bundle").agg(F.sum("bytes").alias("bytes")).collect()]
-    placed = lpt(large + rest, shards)
-    own = _lookup(docs, {k: placed[k] for _, k in large}, "grp")
-    many = _lookup(docs, {k: placed[k] for _, k in rest}, "bundle")
-    put = (
-        rows.withColumn("bundle", bundle)
-        .join(F.broadcast(own), "grp", "left")
-        .join(F.broadcast(many), "bundle", "left")
-        .select(*kept, "doc_id", "size", "text_crc32", F.coalesce("grp_shard", "bundle_shard").alias("shard"))
-    )
+    groups = written(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "shard-groups")
+    sizes = ((r["bytes"], r["count"]) for r in groups.groupBy("bytes").count().orderBy(F.col("bytes").desc()).toLocalIterator())
+    plan = _written_plan(docs.sparkSession, lpt(sizes, shards))
+    of_size = salted_join(ranked(groups, "bytes", [F.col("grp")], "rank"), plan, ["bytes"], ["grp"])
+    of_group = of_size.select("grp", F.size(F.filter("until", lambda x: x <= F.col("rank"))).alias("shard"))
+    # a hot text's rows are dealt over tasks
+    put = salted_join(rows, of_group, ["grp"], ["doc_id"], salts=4).select(*kept, "doc_id", "size", "text_crc32", "shard")
     put = written(put, "shard-put")
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     placed_rows = _ranked_by_place(put) if in_order else ranked(put, "shard", order, "slot")
