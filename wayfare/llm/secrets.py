@@ -2,9 +2,10 @@
 
 Candidates are long runs of an encoding's characters. Each is read in the narrowest encoding that
 fits (hex, base32, base64). Three tests must not reject that its symbols are uniform: chi-squared over the
-alphabet in eight equal parts, runs above and below the middle, and lag-one serial correlation.
-What passes is weighed against running text: the likelihood ratio of its character classes, uniform
-against text-like, is an e-value (its mean under text is 1), and it grows with the length.
+symbols of the alphabet, runs above and below the middle, and lag-one serial correlation.
+What passes is weighed against what is not random: the likelihood ratio of its character classes, uniform
+against text-like, is an e-value, and it grows with the length. A class's share in text-like runs is the larger
+of a fixed one and that in the corpus's own candidates that a test rejects, so the mean is at most 1 under either.
 Within each band of lengths the e-values of all documents go through the e-BH procedure, which
 holds the false-discovery rate under any dependence. Only histograms of e-values are gathered.
 """
@@ -36,6 +37,8 @@ TEXT_SHARES = {"hex": (0.0, 0.1, 0.9, 0.0), "base32": (0.95, 0.0, 0.05, 0.0), "b
 #: The same shares if every symbol of the alphabet is as likely.
 UNIFORM_SHARES = {"hex": (0.0, 6 / 16, 10 / 16, 0.0), "base32": (26 / 32, 0.0, 6 / 32, 0.0), "base64": (26 / 64, 26 / 64, 10 / 64, 2 / 64)}
 LENGTH_BANDS = (32, 48, 64)
+#: Classes of characters in the order of the shares.
+CLASSES = {"upper": "[A-Z]", "lower": "[a-z]", "digit": "[0-9]", "other": "[+/]"}
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -118,10 +121,12 @@ def randomness(m: Column) -> dict[str, Column]:
 
 
 def _tested(c: DataFrame) -> DataFrame:
-    """c has plain, encoding, alphabet, values. Adds n, chi2, runs_z, serial_z, log_e."""
+    """c has plain, encoding, alphabet, values. Adds n, chi_z, runs_z, serial_z and the characters of each class."""
     n = F.size("values").cast("double")
-    part = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.size(F.filter("values", lambda v: F.floor(v * 8 / F.col("alphabet")) == b)).cast("double")), F.lit(0.0), lambda a, x: a + x * x)
-    chi2 = 8 * part / n - n
+    part = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("alphabet") - 1), lambda b: F.size(F.filter("values", lambda v: v == b)).cast("double")), F.lit(0.0), lambda a, x: a + x * x)
+    free = F.col("alphabet") - 1.0
+    # the cube root of chi-squared over its degrees of freedom is about normal (Wilson and Hilferty)
+    chi_z = (F.cbrt((F.col("alphabet") * part / n - n) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
     high = F.transform("values", lambda v: F.when(2 * v >= F.col("alphabet"), 1).otherwise(0))
     n1 = F.aggregate("high", F.lit(0.0), lambda a, x: a + x)
     changes = F.aggregate(F.zip_with(F.slice("high", 1, F.size("high") - 1), F.slice("high", 2, F.size("high") - 1), lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
@@ -131,13 +136,9 @@ def _tested(c: DataFrame) -> DataFrame:
     dev = _let(F.col("mean"), lambda mu: F.transform("values", lambda v: v - mu))
     square = F.aggregate("dev", F.lit(0.0), lambda a, x: a + x * x)
     lag = F.aggregate(F.zip_with(F.slice("dev", 1, F.size("dev") - 1), F.slice("dev", 2, F.size("dev") - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    log_e = F.lit(0.0)
-    for i, classes in enumerate(("[A-Z]", "[a-z]", "[0-9]", "[+/]")):
-        k = F.char_length("plain") - F.char_length(F.regexp_replace("plain", classes, ""))
-        ratio = {e: _log_ratio(UNIFORM_SHARES[e][i], TEXT_SHARES[e][i]) for e in ALPHABETS}
-        log_e = log_e + k * _by_encoding(F.col("encoding"), ratio)
+    classes = {name: F.char_length("plain") - F.char_length(F.regexp_replace("plain", pattern, "")) for name, pattern in CLASSES.items()}
     return (
-        c.withColumns({"n": n, "chi2": chi2, "high": high, "mean": mean, "log_e": log_e})
+        c.withColumns({"n": n, "chi_z": chi_z, "high": high, "mean": mean, **classes})
         .withColumns({"n1": n1, "changes": changes, "dev": dev})
         .withColumns({
             "runs_z": F.when(spread > 0, (F.col("changes") + 1 - expected) / F.sqrt(spread)).otherwise(99.0),
@@ -147,17 +148,22 @@ def _tested(c: DataFrame) -> DataFrame:
     )
 
 
-def _log_ratio(uniform: float, text: float) -> float:
-    from math import log
-
-    return log(uniform / text) if uniform and text else 0.0
+def _weighed(tested: DataFrame) -> DataFrame:
+    """tested with log_e, the log of its e-value; what the rejected candidates are made of is three rows."""
+    made = tested.filter("not passed").groupBy("encoding").agg(*(F.sum(c).alias(f"all_{c}") for c in CLASSES), F.sum("n").alias("all_n"))
+    log_e = F.lit(0.0)
+    for i, c in enumerate(CLASSES):
+        fixed = _by_encoding(F.col("encoding"), {e: TEXT_SHARES[e][i] for e in ALPHABETS})
+        uniform = _by_encoding(F.col("encoding"), {e: UNIFORM_SHARES[e][i] for e in ALPHABETS})
+        share = F.greatest(fixed, F.coalesce(F.col(f"all_{c}") / F.col("all_n"), F.lit(0.0)))
+        log_e = log_e + F.when((uniform > 0) & (share > 0), F.col(c) * F.log(uniform / share)).otherwise(0.0)
+    return tested.join(F.broadcast(made), "encoding", "left").withColumn("log_e", log_e)
 
 
-def find_secrets(docs: DataFrame, *, fdr: float = 0.01, chi2_most: float = 24.3, z_most: float = 3.3) -> DataFrame:
+def find_secrets(docs: DataFrame, *, fdr: float = 0.01, z_most: float = 3.3) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans; one row per input row.
 
-    chi2_most and z_most are the 0.001 points of chi-squared with seven degrees of freedom and of the
-    normal distribution. A random span that overlaps a base span is not reported. A null text counts as empty;
+    z_most is the 0.001 point of the normal distribution, to which all three tests are brought. A random span that overlaps a base span is not reported. A null text counts as empty;
     doc_id may be null or repeated; no rows give no rows; other columns are not read.
     The texts are read once; spans and candidates are written, and texts are never shuffled.
     """
@@ -175,11 +181,13 @@ def find_secrets(docs: DataFrame, *, fdr: float = 0.01, chi2_most: float = 24.3,
     band = F.lit(0)
     for b in LENGTH_BANDS:
         band = band + F.when(F.col("n") >= b, 1).otherwise(0)
-    passed = (F.col("chi2") <= chi2_most) & (F.abs("runs_z") <= z_most) & (F.abs("serial_z") <= z_most)
+    passed = (F.col("chi_z") <= z_most) & (F.abs("runs_z") <= z_most) & (F.abs("serial_z") <= z_most)
+    tested = _tested(c).select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), "encoding", "n", *CLASSES, passed.alias("passed"), band.alias("band"))
+    tested = _weighed(written(tested, "secret-candidates"))
     # e-values are compared on steps of a tenth of their logarithm, so a histogram is enough; a candidate that
     # fails a test has no step (its e-value is 0) and still counts among all that were tested
-    step = F.when(passed, F.floor(F.least(F.col("log_e"), F.lit(200.0)) * 10).cast("int"))
-    tested = written(_tested(c).select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), step.alias("step"), band.alias("band")), "secret-tests")
+    step = F.when(F.col("passed"), F.floor(F.least(F.col("log_e"), F.lit(200.0)) * 10).cast("int"))
+    tested = written(tested.select("row", "start", "end", step.alias("step"), "band"), "secret-tests")
     from pyspark.sql import Window
 
     down = Window.partitionBy("band").orderBy(F.col("step").desc_nulls_last())
