@@ -1,10 +1,12 @@
-"""Dynamic time warping between resampled trajectories, in JVM expressions."""
+"""Dynamic time warping between resampled trajectories, for all pairs of a batch at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import points as src
@@ -13,21 +15,63 @@ from ..sources import points as src
 START, STEP, SAMPLES = 1704067200 + 5 * 86400, 7 * 86400 // 8, 9
 
 
-def dtw(q: Column, o: Column) -> Column:
-    """Full-matrix DTW with L2 cost between two arrays of (x, y): rows by aggregate, cells by an inner aggregate."""
-    inf = F.lit(float("inf"))
-    first = F.concat(F.array(F.lit(0.0)), F.transform(o, lambda _: inf))
-
-    def row(prev: Column, a: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            b = F.element_at(o, j)
-            cost = F.hypot(a["x"] - b["x"], a["y"] - b["y"])
-            least = F.least(F.element_at(prev, j), F.element_at(prev, j + 1), F.element_at(acc, -1))
-            return F.concat(acc, F.array(cost + least))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(o)), F.array(inf), cell)
-
-    return F.element_at(F.aggregate(q, first, row), -1)
+def dtw(q: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """DTW with Euclidean cost of pairs of sequences, arrays of (pairs, samples, 2): two rolling rows of the matrix."""
+    pairs, m = o.shape[:2]
+    row = np.full((pairs, m + 1), np.inf)
+    row[:, 0] = 0
+    for i in range(q.shape[1]):
+        cost = np.hypot(*np.moveaxis(q[:, i : i + 1] - o, 2, 0))
+        best = np.minimum(row[:, 1:], row[:, :-1])
+        new = np.full((pairs, m + 1), np.inf)
+        for j in range(m):
+            new[:, j + 1] = cost[:, j] + np.minimum(best[:, j], new[:, j])
+        row = new
+    return row[:, -1]
+
+
+def alignment(q: np.ndarray, o: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of samples of the cheapest warping path of two sequences (samples, 2); at equal cost the diagonal, then the query, goes on."""
+    n, m = len(q), len(o)
+    full = np.full((n + 1, m + 1), np.inf)
+    full[0, 0] = 0
+    for i in range(n):
+        cost = np.hypot(*(q[i] - o).T)
+        for j in range(m):
+            full[i + 1, j + 1] = cost[j] + min(full[i, j], full[i, j + 1], full[i + 1, j])
+    path, i, j = [], n, m
+    while i and j:
+        path.append((i - 1, j - 1))
+        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda at: full[at])
+    return path[::-1]
+
+
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    """Each row's samples as an array (samples, 2)."""
+    flat = column.flatten()
+    xy = np.stack([flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False) for c in "xy"], axis=1)
+    return np.split(xy, np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        q, o = _sequences(batch.column("q")), _sequences(batch.column("o"))
+        out = np.zeros(batch.num_rows)
+        shapes = np.array([(len(a), len(b)) for a, b in zip(q, o, strict=True)])
+        for shape in np.unique(shapes, axis=0):
+            at = np.flatnonzero((shapes == shape).all(axis=1))
+            out[at] = dtw(np.stack([q[k] for k in at]), np.stack([o[k] for k in at]))
+        yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("traj_id"), pa.array(out)], names=["qid", "traj_id", "dist"])
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(a, b, k, i, j) for a, b, q, o in zip(batch.column("qid").to_pylist(), batch.column("traj_id").to_pylist(), _sequences(batch.column("q")), _sequences(batch.column("o")), strict=True) for k, (i, j) in enumerate(alignment(q, o))] if batch.num_rows else []
+        if rows:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["qid", "traj_id", "step", "i", "j"])
 
 
 def resampled(pts: DataFrame) -> DataFrame:
@@ -41,8 +85,8 @@ def resampled(pts: DataFrame) -> DataFrame:
     return rows.select("traj_id", "i", (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("y"))
 
 
-def rmdtw(pts: DataFrame) -> DataFrame:
-    """qid, traj_id, dist for the query trajectories (id divisible by 50) against all.
+def pairs(pts: DataFrame) -> DataFrame:
+    """qid, traj_id, q, o: the samples of the query trajectories (id divisible by 50) and of all.
 
     The object is resampled at the query's times. Samples before its life or after it are padded with two
     copies each of its first or last position.
@@ -52,8 +96,17 @@ def rmdtw(pts: DataFrame) -> DataFrame:
     # a stated query set against all rows
     pair = r.crossJoin(q).withColumn("o", F.filter("p", lambda s: (s["i"] >= F.col("q")[0]["i"]) & (s["i"] <= F.element_at("q", -1)["i"]))).filter("size(o) > 0")
     before, after = 2 * (F.col("o")[0]["i"] - F.col("q")[0]["i"]), 2 * (F.element_at("q", -1)["i"] - F.element_at("o", -1)["i"])
-    pair = pair.withColumn("o", F.concat(F.array_repeat(F.col("o")[0], before), F.col("o"), F.array_repeat(F.element_at("o", -1), after)))
-    return pair.select("qid", "traj_id", F.round(dtw(F.col("q"), F.col("o")), 6).alias("dist"))
+    return pair.select("qid", "traj_id", "q", F.concat(F.array_repeat(F.col("o")[0], before), F.col("o"), F.array_repeat(F.element_at("o", -1), after)).alias("o"))
+
+
+def rmdtw(pts: DataFrame) -> DataFrame:
+    """qid, traj_id, dist: the warping distances of pairs()."""
+    return pairs(pts).mapInArrow(_distances, "qid long, traj_id long, dist double").withColumn("dist", F.round("dist", 6))
+
+
+def dtw_path(pts: DataFrame) -> DataFrame:
+    """qid, traj_id, step, i, j: the warping paths of pairs(), by number of sample."""
+    return pairs(pts).mapInArrow(_paths, "qid long, traj_id long, step int, i int, j int")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -64,4 +117,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         w = Window.partitionBy("qid").orderBy("dist", "traj_id")
         return pairwise(spark, sf_dir).withColumn("rn", F.row_number().over(w)).filter("rn <= 6")
 
-    return {"rmdtw_pairwise": pairwise, "knn_rmdtw": knn}
+    def path(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return dtw_path(src.points(spark, sf_dir))
+
+    return {"rmdtw_pairwise": pairwise, "knn_rmdtw": knn, "dtw_path": path}
+
+
+#: DuckDB: the matrix cell by cell, row after row, in a recursive query.
+_CTES = f"""n AS (SELECT unnest(generate_series(0, {SAMPLES - 1})) AS i), ats AS (SELECT i, {START} + i * {STEP} AS t0 FROM n),
+sm AS (SELECT traj_id, i, x1 + (x2 - x1) * (t0 - t1) / (t2 - t1) AS x, y1 + (y2 - y1) * (t0 - t1) / (t2 - t1) AS y FROM ats JOIN seg ON t1 <= t0 AND (t0 < t2 OR t0 = t2 AND NOT has_next)),
+r AS (SELECT traj_id, list({{'i': i, 'x': x, 'y': y}} ORDER BY i) AS p FROM sm GROUP BY traj_id),
+pr AS (SELECT q.traj_id AS qid, o.traj_id, q.p AS q, list_filter(o.p, lambda z: z.i BETWEEN q.p[1].i AND q.p[-1].i) AS o FROM r q CROSS JOIN r o WHERE q.traj_id % 50 = 0),
+pd AS (SELECT qid, traj_id, q, list_concat(list_transform(range(2 * (o[1].i - q[1].i)), lambda k: o[1]), o, list_transform(range(2 * (q[-1].i - o[-1].i)), lambda k: o[-1])) AS o FROM pr WHERE len(o) > 0),
+dp AS (SELECT qid, traj_id, q, o, 0 AS k, CAST([] AS DOUBLE[]) AS d FROM pd
+ UNION ALL SELECT qid, traj_id, q, o, k + 1, list_append(d, sqrt(power(q[k // len(o) + 1].x - o[k % len(o) + 1].x, 2) + power(q[k // len(o) + 1].y - o[k % len(o) + 1].y, 2)) + CASE WHEN k = 0 THEN 0 ELSE
+  least(CASE WHEN k >= len(o) THEN d[k - len(o) + 1] ELSE 1e300 END, CASE WHEN k % len(o) > 0 THEN d[k] ELSE 1e300 END, CASE WHEN k >= len(o) AND k % len(o) > 0 THEN d[k - len(o)] ELSE 1e300 END) END) FROM dp WHERE k < len(q) * len(o)),
+fin AS (SELECT qid, traj_id, round(d[-1], 6) AS dist FROM dp WHERE k = len(q) * len(o))"""
+DUCK = {
+    "rmdtw_pairwise": f"WITH RECURSIVE {_CTES} SELECT qid, traj_id, dist FROM fin",
+    "knn_rmdtw": f"WITH RECURSIVE {_CTES}, w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, traj_id) AS rn FROM fin) SELECT qid, traj_id, dist, rn FROM w WHERE rn <= 6",
+}

@@ -14,10 +14,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import cutters, similarity
+from ..operators import cutters, index, similarity
 from ..sources import points as src
 from ..streaming import live
-from . import ranges, regions
+from . import bounds, geometry, grid, ranges, regions
 
 #: 2024-01-01; windows below are days after it.
 DAY0 = 1704067200
@@ -28,6 +28,7 @@ seg0 AS (SELECT traj_id, row_number() OVER w - 1 AS seg_no, t AS t1, x AS x1, y
          lead(t, 2) OVER w IS NOT NULL AS has_next FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY t, x, y)),
 seg AS (SELECT *, seg_no > 0 AS has_prev FROM seg0 WHERE t2 > t1),
 boxes AS (SELECT c_custkey AS id, c_acctbal / 100 AS x1, c_nationkey * 4e0 AS y1, c_acctbal / 100 + 1 + c_custkey % 7 AS x2, c_nationkey * 4e0 + 1 + c_custkey % 5 AS y2 FROM customer)"""
+DUCK_VECTORS = "vectors AS (SELECT vec_id AS id, embedding AS v FROM embeddings)"
 
 AT = "(s.x1 + (s.x2 - s.x1) * ({t} - s.t1) / (s.t2 - s.t1))", "(s.y1 + (s.y2 - s.y1) * ({t} - s.t1) / (s.t2 - s.t1))"
 
@@ -155,9 +156,11 @@ SPARK_TOKENS = {
     # eight intervals have nine ends
     "{SAMPLES}": "explode(sequence(0, 8))",
     "{REPLICAS}": "explode(sequence(0, 9))",
+    "{WORK}": "explode(sequence(0, 99))",
+    "{NUMBERS}": "explode(sequence(0, 100000))",
 }
-DUCK_TOKENS = {"{SLAB}": "0", "{GUARD}": "TRUE", "{SAMPLES}": "unnest(generate_series(0, 8))", "{REPLICAS}": "unnest(generate_series(0, 9))"}
-RELATION = re.compile(r"(?<![\w.])(points|seg|boxes)(?![\w.])")
+DUCK_TOKENS = {"{SLAB}": "0", "{GUARD}": "TRUE", "{SAMPLES}": "unnest(generate_series(0, 8))", "{REPLICAS}": "unnest(generate_series(0, 9))", "{WORK}": "unnest(generate_series(0, 99))", "{NUMBERS}": "unnest(generate_series(0, 100000))"}
+RELATION = re.compile(r"(?<![\w.])(points|seg|boxes|cones|vectors)(?![\w.])")
 
 
 def _fill(sql: str, tokens: dict[str, str]) -> str:
@@ -173,14 +176,17 @@ OTHERWISE = {
     # these two are DataFrame queries
     "oplog_replay": (None, regions.OPLOG_DUCK),
     "cone_bounds": (None, f"WITH {regions.CONES_DUCK}"),
-}
+    "region_10nn_by_sum": (None, grid.BY_SUM_DUCK),
+    "index_range": (None, index.RANGE_DUCK),
+    "index_pages": (None, index.PAGES_DUCK),
+} | bounds.QUERIES | geometry.QUERIES | {k: (None, sql) for k, sql in similarity.DUCK.items()}
 
 
 def run_sql(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = _fill(sql, SPARK_TOKENS)
     pts = src.points(spark, sf_dir)
-    have = {"points": pts, "seg": src.segments(pts), "boxes": src.boxes(spark, sf_dir)}
-    used = {k: v for k, v in have.items() if k in set(RELATION.findall(sql))}
+    make = {"points": lambda: pts, "seg": lambda: src.segments(pts), "boxes": lambda: src.boxes(spark, sf_dir), "vectors": lambda: src.vectors(spark, sf_dir), "cones": lambda: regions.weekly_cones(pts).select("traj_id", "week", "cone.*")}
+    used = {k: make[k]() for k in set(RELATION.findall(sql))}
     return spark.sql(RELATION.sub(r"{\1}", sql), **used)
 
 
@@ -190,13 +196,19 @@ def duck_sql(name: str) -> str:
     if name in live.SQL:
         return live.SQL[name]
     sql = _fill(SQL[name] if name in SQL else OTHERWISE[name][1], DUCK_TOKENS)
+    if re.search(r"(?<![\w.])cones(?![\w.])", sql):
+        sql = f"WITH {regions.CONES_TABLE}, {sql[5:]}"
+    if re.search(r"(?<![\w.])vectors(?![\w.])", sql):
+        sql = f"WITH {DUCK_VECTORS}, {sql[5:]}"
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {DUCK}, {sql[15:]}"
     return f"WITH {DUCK}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {DUCK} {sql}"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     texts = SQL | {k: spark for k, (spark, _) in OTHERWISE.items() if spark}
     out = {name: functools.partial(run_sql, sql) for name, sql in texts.items()}
-    return out | {"range_cylinder": ranges.range_cylinder} | regions.QUERIES | live.QUERIES | cutters.queries() | similarity.queries()
+    return out | {"range_cylinder": ranges.range_cylinder} | grid.QUERIES | index.QUERIES | regions.QUERIES | live.QUERIES | cutters.queries() | similarity.queries()
 
 
 def oracle_sql() -> dict[str, str]:

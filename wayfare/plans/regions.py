@@ -117,10 +117,12 @@ def cone_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("traj_id", "week", F.round(r, 6).alias("radius"), F.round(F.greatest(d - r, F.lit(0.0)), 6).alias("opt"), F.round(d + r, 6).alias("pes"))
 
 
-CONES_DUCK = f"""p AS (SELECT *, CAST(floor((t - {DAY0}) / {WEEK}) AS BIGINT) AS week, lead(t) OVER w AS t2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM points WINDOW w AS (PARTITION BY traj_id, floor((t - {DAY0}) / {WEEK}) ORDER BY t, x, y)),
+_CONE_PARTS = f"""p AS (SELECT *, CAST(floor((t - {DAY0}) / {WEEK}) AS BIGINT) AS week, lead(t) OVER w AS t2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM points WINDOW w AS (PARTITION BY traj_id, floor((t - {DAY0}) / {WEEK}) ORDER BY t, x, y)),
 e AS (SELECT traj_id, week, min(t) AS ts, max(t) AS te, arg_min(x, t) AS xs, arg_min(y, t) AS ys, arg_max(x, t) AS xe, arg_max(y, t) AS ye FROM p GROUP BY traj_id, week HAVING max(t) > min(t)),
 r AS (SELECT traj_id, week, max(sqrt(power(x - (xs + (xe - xs) * (t - ts) / (te - ts)), 2) + power(y - (ys + (ye - ys) * (t - ts) / (te - ts)), 2))) AS rd,
-      max(CASE WHEN t2 > t THEN sqrt(power((x2 - x) / (t2 - t) - (xe - xs) / (te - ts), 2) + power((y2 - y) / (t2 - t) - (ye - ys) / (te - ts), 2)) END) AS rv FROM p JOIN e USING (traj_id, week) GROUP BY traj_id, week),
+      max(CASE WHEN t2 > t THEN sqrt(power((x2 - x) / (t2 - t) - (xe - xs) / (te - ts), 2) + power((y2 - y) / (t2 - t) - (ye - ys) / (te - ts), 2)) END) AS rv FROM p JOIN e USING (traj_id, week) GROUP BY traj_id, week)"""
+CONES_TABLE = f"""{_CONE_PARTS}, cones AS (SELECT e.*, rd, rv FROM e JOIN r USING (traj_id, week))"""
+CONES_DUCK = f"""{_CONE_PARTS},
 g AS (SELECT traj_id, week, sqrt(power((xs + xe) / 2 - 50, 2) + power((ys + ye) / 2 - 50, 2)) AS d, least((te - ts) / 2 * rv, rd) AS radius FROM e JOIN r USING (traj_id, week))
 SELECT traj_id, week, round(radius, 6) AS radius, round(greatest(d - radius, 0), 6) AS opt, round(d + radius, 6) AS pes FROM g"""
 

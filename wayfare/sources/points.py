@@ -32,6 +32,11 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), x1.alias("x1"), y1.alias("y1"), (x1 + 1 + F.col("c_custkey") % 7).alias("x2"), (y1 + 1 + F.col("c_custkey") % 5).alias("y2"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, v: points of as many dimensions as the embeddings have."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """Text of alternating lines, an id and then "x,y,t x,y,t ...", one file or many.
 
@@ -50,3 +55,22 @@ def dump_lines(pts: DataFrame) -> DataFrame:
     p = F.array_sort(F.collect_list(F.struct("t", "x", "y")))
     text = F.array_join(F.transform(F.col("p"), lambda s: F.format_string("%.6f,%.6f,%.6f", s["x"], s["y"], s["t"])), " ")
     return pts.groupBy("traj_id").agg(p.alias("p")).select(F.concat(F.col("traj_id").cast("string"), F.lit("\n"), text).alias("value"))
+
+
+def append_dump(pts: DataFrame, path: str) -> None:
+    """Add trajectories to a dump, numbered on from its greatest id in the order of their own ids."""
+    spark = pts.sparkSession
+    last = read_dump(spark, path).agg(F.max("traj_id")).first()[0]
+    ids = pts.select("traj_id").distinct()
+    # ids are numbered in ranges, not in one task
+    ranged = ids.repartitionByRange("traj_id").sortWithinPartitions("traj_id").select("traj_id", F.spark_partition_id().alias("part"))
+    within = Window.partitionBy("part").orderBy("traj_id")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+    numbered = ranged.withColumn("rn", F.row_number().over(within)).join(before, "part").select("traj_id", (F.lit(-1 if last is None else last) + F.col("off") + F.col("rn")).alias("new_id"))
+    dump_lines(pts.join(numbered, "traj_id").drop("traj_id").withColumnRenamed("new_id", "traj_id")).write.mode("append").text(path)
+
+
+def append_points(pts: DataFrame, path: str) -> None:
+    """Add points to a Parquet store of them; ids are kept."""
+    pts.select("traj_id", "t", "x", "y").write.mode("append").parquet(path)

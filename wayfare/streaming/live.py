@@ -66,6 +66,11 @@ def _work_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and the executors share."""
+    return f"{_work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives for the files that are there now, as a written table.
 
@@ -73,7 +78,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     in complete mode the last batch is the result.
     """
     spark = stream.sparkSession
-    top = f"{_work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    top = shared_folder(spark, "stream")
     schema, last = stream.schema, []
 
     def put(batch: DataFrame, number: int) -> None:
