@@ -90,13 +90,15 @@ def ranked(df: DataFrame, group: str, order: list, out: str, each: int = 50_000)
     )
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 8, merge: bool = True) -> DataFrame:
     """big joined with small on keys, the rows of a hot key dealt over `salts` tasks by a hash of `by`; small has a key once.
 
-    Merged at every size, since small grows with the corpus.
+    merge: merged at every size, for a small side that grows with the corpus; otherwise Spark broadcasts a written
+    table whose files are below its limit.
     """
     dealt = big.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    every = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    every = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    every = every.hint("merge") if merge else every
     return dealt.join(every, [*keys, "__salt"], how).drop("__salt")
 
 

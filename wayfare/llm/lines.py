@@ -54,7 +54,7 @@ def _round(each: DataFrame, min_docs: int, fixed_share: float) -> tuple[DataFram
     template = F.transform("words", lambda w, i: F.when(F.element_at("fixed", i) == w, w).otherwise(FIELD))
     share = F.size(F.filter(F.col("template"), lambda w: w != FIELD)) / F.size("template")
     shaped = (
-        salted_join(each, groups, ["leaf"], ["doc_id", "line_no"]).withColumn("template", template)
+        each.join(groups, "leaf").withColumn("template", template)
         .withColumn("template", F.when(share >= fixed_share, F.sha2(F.concat_ws(" ", "template"), 256)))
         .filter("template is not null or split_at is not null")
         .select("leaf", "doc_id", "th", "line_no", "template", "split_at", F.when(F.col("split_at").isNotNull(), F.col("words")).alias("words"))
@@ -62,10 +62,11 @@ def _round(each: DataFrame, min_docs: int, fixed_share: float) -> tuple[DataFram
     shaped = written(shaped, "line-shaped")
     recur = shaped.filter("template is not null").select("template", "doc_id", "th").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("template")
     recur = written(recur, "line-recur")
-    found = salted_join(shaped, recur, ["template"], ["doc_id", "line_no"]).select("doc_id", "th", "line_no")
+    # a hot template is dealt over tasks where its table is too large to broadcast
+    found = salted_join(shaped, recur, ["template"], ["doc_id", "line_no"], merge=False).select("doc_id", "th", "line_no")
     words = at.filter(F.col("c") >= min_docs).join(groups.select("leaf", "split_at"), "leaf").filter("at = split_at").select("leaf", "word", F.lit(True).alias("frequent"))
-    rest = salted_join(shaped.filter("split_at is not null"), recur, ["template"], ["doc_id", "line_no"], "left_anti").withColumn("word", F.expr("words[split_at]"))
-    rest = salted_join(rest, words, ["leaf", "word"], ["doc_id", "line_no"], "left")
+    rest = salted_join(shaped.filter("split_at is not null"), recur, ["template"], ["doc_id", "line_no"], "left_anti", merge=False).withColumn("word", F.expr("words[split_at]"))
+    rest = rest.join(words, ["leaf", "word"], "left")
     rest = rest.select(F.xxhash64("leaf", "split_at", F.when(F.col("frequent"), F.col("word"))).alias("leaf"), "doc_id", "th", "line_no", "words")
     rest = written(rest, "line-hot")
     return found, None if rest.isEmpty() else rest
@@ -90,7 +91,7 @@ def drop_templates(docs: DataFrame, *, min_docs: int = 10, fixed_share: float =
         need.filter("text is not null").select("doc_id", "th", F.posexplode(shapes).alias("line_no", "line"))
         .select(F.col("line.leaf").alias("leaf"), "doc_id", "th", "line_no", F.col("line.words").alias("words"))
     )
-    each = written(salted_join(each, hot, ["leaf"], ["doc_id", "line_no"]), "line-hot")
+    each = written(each.join(hot, "leaf"), "line-hot")
     gone = None
     while True:
         found, each = _round(each, min_docs, fixed_share)
