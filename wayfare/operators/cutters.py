@@ -7,11 +7,13 @@ trajectory share their end points.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import points as src
 
@@ -21,10 +23,12 @@ SOFT = 0.2
 
 def _bounds(t: np.ndarray, v: np.ndarray, s: int, e: int, head: tuple | None, tail: tuple | None) -> tuple:
     """The piece from sample s to e; head and tail are interpolated ends that replace those samples."""
-    rows = [(t[i], *v[i]) for i in range(s + (head is not None), e + 1 - (tail is not None))]
-    rows = ([head] if head else []) + rows + ([tail] if tail else [])
-    a = np.array(rows)
-    return s, e, a[0, 0], a[-1, 0], a[:, 1].min(), a[:, 1].max(), a[:, 2].min(), a[:, 2].max()
+    part = v[s + (head is not None) : e + 1 - (tail is not None)]
+    ends = [p[1:] for p in (head, tail) if p]
+    if ends:
+        part = np.vstack([part, ends])
+    (x0, y0), (x1, y1) = part.min(axis=0), part.max(axis=0)
+    return s, e, head[0] if head else t[s], tail[0] if tail else t[e], x0, x1, y0, y1
 
 
 def greedy(t: np.ndarray, v: np.ndarray, length: float, origin: float) -> list[tuple]:
@@ -109,18 +113,33 @@ def pieces(method: str, length: float, t: np.ndarray, v: np.ndarray, dataset_sta
 
 
 def cut(pts: DataFrame, method: str, length: float, dataset_start: float) -> DataFrame:
-    """iss, gss, rdp, rdpn, opts with a piece length in seconds, or simplify with a deviation as `length`."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "x", "y"]).drop_duplicates("t")
-        t, v = g["t"].to_numpy(), g[["x", "y"]].to_numpy()
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        if len(t) < 2:
-            return pd.DataFrame([], columns=names)
-        rows = pieces(method, length, t, v, dataset_start)
-        return pd.DataFrame([(int(g["traj_id"].iloc[0]), k, *r) for k, r in enumerate(rows)], columns=names)
-
-    return pts.groupBy("traj_id").applyInPandas(one, SCHEMA)
+    """iss, gss, rdp, rdpn, opts with a piece length in seconds, or simplify with a deviation as `length`.
+
+    Points come sorted by trajectory and time; a task holds one batch and the trajectory that the batch before left open.
+    """
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[x.split()[1]] for x in SCHEMA.split(", ")]
+
+    def one(key: int, t: np.ndarray, v: np.ndarray) -> list[tuple]:
+        first = np.concatenate(([True], t[1:] != t[:-1]))
+        t, v = t[first], v[first]
+        return [(key, k, *r) for k, r in enumerate(pieces(method, length, t, v, dataset_start))] if len(t) > 1 else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[np.ndarray] | None = None
+        for batch in chain(batches, [None]):
+            new = [batch.column(k).to_numpy() for k in range(4)] if batch is not None else [np.zeros(0, np.int64), *(np.zeros(0) for _ in range(3))]
+            key, t, x, y = new if left is None else [np.concatenate(p) for p in zip(left, new, strict=True)]
+            edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), *([len(key)] if batch is None else [])]
+            v = np.stack((x, y), axis=1)
+            rows = [r for s, e in pairwise(edge) if e > s for r in one(int(key[s]), t[s:e], v[s:e])]
+            left = [c[edge[-1] :] for c in (key, t, x, y)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    parts = int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    need = pts.select(F.col("traj_id").cast("long"), *(F.col(c).cast("double") for c in "txy"))
+    return need.repartition(parts, "traj_id").sortWithinPartitions("traj_id", "t", "x", "y").mapInArrow(run, SCHEMA)
 
 
 METHODS = {"cut_iss": ("iss", 259200.0), "cut_gss": ("gss", 259200.0), "cut_rdp": ("rdp", 259200.0), "cut_opts": ("opts", 86400.0), "simplify_rdp": ("simplify", 40.0), "simplify_rdpn": ("rdpn", 259200.0)}
