@@ -1,4 +1,7 @@
-"""The training-corpus pipeline: each stage is written as Parquet and read again as the next one's documents."""
+"""The training-corpus pipeline: each stage is written as Parquet and read again as the next one's documents.
+
+No documents give no rows at every stage; columns of documents beside those that a stage reads are passed on as they are.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,27 @@ from wayfare.llm._tables import read_documents, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that the rules or their host's verdict reject go."""
+    """Quality rules: documents that the rules or their host's verdict reject go; a null or empty text has under 50 words and goes, a null source is a host."""
     return quality.keep_good(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of near copies the document with the least doc_id stays."""
+    """N-gram Jaccard join: of each group of near copies the document with the least doc_id stays; null ids stay, and rows that repeat that least id."""
     return jaccard.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go; null texts overlap none, whole long texts are searched."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the mixed order: file after file and row after row."""
+    """All documents, in the mixed order: file after file and row after row; repeated rows stand together, a null source is one of its own."""
     return mixing.in_mixed_order(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: doc_id, size, text_crc32, law, shard, slot, grown_shard. Slots of a shard follow the mixed order."""
+    """Where each document goes: doc_id, size, text_crc32, law, shard, slot, grown_shard. Slots of a shard follow the mixed order; null texts count as empty, equal texts share a shard."""
     return sharding.shard_documents(docs, in_order=True)
 
 

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from wayfare.llm import decontam, jaccard, lines, mixing, quality, secrets, sharding, substring, suffix, tokens
 
-CLASH = ("row", "n", "h1", "key", "g", "comp", "size", "shard", "slot", "position", "block_no", "idx", "src", "failed", "host", "sig", "line", "copy_id", "class_id", "text_crc32", "n_words", "start", "count")
+CLASH = ("row", "n", "h1", "key", "g", "comp", "size", "shard", "slot", "position", "block_no", "idx", "src", "failed", "host", "sig", "line", "copy_id", "class_id", "text_crc32", "n_words", "start", "count", "__clean", "__host", "__failed", "__n_words", "__id", "__source", "__position")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 LONG = " ".join(f"word{k}" for k in range(20_000))
 
@@ -81,3 +81,10 @@ def test_pipeline_stages(spark, hard, bench, tmp_path):
     kept = {r.doc_id for r in quality.keep_good(hard).collect()}
     assert kept == {r.doc_id for r in quality.quality_rules(hard).collect() if r.kept}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept - {5, 6})
+
+
+def test_pipeline_on_no_documents(spark, hard, bench, tmp_path):
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    hard.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns[:3] == ["doc_id", "size", "text_crc32"]

@@ -144,6 +144,14 @@ def beside(docs: DataFrame, columns: str, make: Callable[[], Callable[[list[byte
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *new.fields]))
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column has, for columns of the operator's own beside them."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in columns):
+        p += "_"
+    return p
+
+
 def column(rows: list[pa.RecordBatch], name: str) -> pa.ChunkedArray:
     return pa.chunked_array([b.column(b.schema.get_field_index(name)) for b in rows])
 

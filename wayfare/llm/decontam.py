@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import Numbers, U, mix
-from ._tables import NO_ID, beside, id_array, ids_of, text_slices, written
+from ._tables import NO_ID, beside, free_prefix, id_array, ids_of, text_slices, written
 
 SLICE_BYTES = 1 << 20
 #: 1: the token counts; 0: any token may stand there. Every mask has six ones.
@@ -225,7 +225,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_tokens: int
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_tokens: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns as they are, without any overlap that find_contamination reports."""
-    out = docs
+    out, flag = docs, f"{free_prefix(docs.columns)}clean"
     for (ids, null, texts), more in bench_blocks(benchmark, block_bytes):
 
         def judge(ids=ids, null=null, texts=texts):
@@ -238,6 +238,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_tokens: int
 
             return clean
 
-        out = beside(out, "__clean boolean", judge, SLICE_BYTES).filter("__clean").drop("__clean")
+        out = beside(out, f"{flag} boolean", judge, SLICE_BYTES).filter(flag).drop(flag)
         out = written(out, "clean") if more else out
     return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import ranked, read_slices, written
+from ._tables import free_prefix, ranked, read_slices, written
 
 PERIOD = 1000
 #: Blocks of the plan that the driver holds at once.
@@ -177,12 +177,13 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **o
     size = F.octet_length(F.col("text").cast("string")) if "text" in docs.columns else F.lit(1 << 10)
     rows, size = docs.agg(F.count(F.lit(1)), F.sum(size)).first()
     # a place for each distinct (doc_id, source); rows that repeat it follow one another
-    place = placed.groupBy(F.col("doc_id").alias("__id"), F.coalesce("source", F.lit("")).alias("__source")).agg(F.min("position").alias("__position"))
+    own = free_prefix(docs.columns)
+    place = placed.groupBy(F.col("doc_id").alias(f"{own}id"), F.coalesce("source", F.lit("")).alias(f"{own}source")).agg(F.min("position").alias(f"{own}position"))
     place = written(place, "mix-places")
     # places are gapless, so a row's range is known without sampling the joined texts
     n = max(1, rows)
     parts = min(n, max(-(-(size or 0) // RANGE_BYTES), docs.sparkSession.sparkContext.defaultParallelism))
     # merged at every size, since places grow with the corpus
-    joined = docs.join(place.hint("merge"), key[0].eqNullSafe(F.col("__id")) & (key[1] == F.col("__source")))
-    dealt = joined.repartitionById(parts, F.expr(f"cast(__position * {parts} div {n} as int)"))
-    return dealt.sortWithinPartitions("__position").select(*docs.columns)
+    joined = docs.join(place.hint("merge"), key[0].eqNullSafe(F.col(f"{own}id")) & (key[1] == F.col(f"{own}source")))
+    dealt = joined.repartitionById(parts, F.expr(f"cast({own}position * {parts} div {n} as int)"))
+    return dealt.sortWithinPartitions(f"{own}position").select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._hashing import SPACE, Words
-from ._tables import beside, column, text_slices, written
+from ._tables import beside, column, free_prefix, text_slices, written
 
 SLICE_BYTES = 1 << 20
 SYMBOLS = b"#*$%&|<>"
@@ -131,7 +131,8 @@ def keep_good(docs: DataFrame, *, bad_rate: float = 0.5, symbol_share: float = 0
     """
     rules = {"symbol_share": symbol_share, "dup_lines": dup_lines, "word_length": word_length}
     judged = quality_rules(docs, bad_rate=bad_rate, **rules)
-    bad = written(judged.filter("host_bad").select(F.col("source").alias("__host")).distinct(), "bad-hosts")
+    own = free_prefix(docs.columns)
+    bad = written(judged.filter("host_bad").select(F.col("source").alias(f"{own}host")).distinct(), "bad-hosts")
 
     def counting():
         def counts(texts: list[bytes]) -> list[np.ndarray]:
@@ -141,7 +142,7 @@ def keep_good(docs: DataFrame, *, bad_rate: float = 0.5, symbol_share: float = 0
         return counts
 
     columns = docs.columns
-    counted = beside(docs, ", ".join(f"__{c} long" for c in COUNTS), counting, SLICE_BYTES)
-    base, failed = failures(**rules, prefix="__")
-    sound = counted.filter(~base).withColumn("__failed", failed)
-    return sound.join(bad, sound["source"].cast("string").eqNullSafe(bad["__host"]) & sound["__failed"], "left_anti").select(*columns)
+    counted = beside(docs, ", ".join(f"{own}{c} long" for c in COUNTS), counting, SLICE_BYTES)
+    base, failed = failures(**rules, prefix=own)
+    sound = counted.filter(~base).withColumn(f"{own}failed", failed)
+    return sound.join(bad, sound["source"].cast("string").eqNullSafe(bad[f"{own}host"]) & sound[f"{own}failed"], "left_anti").select(*columns)
