@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from wayfare.llm import decontam, jaccard, queries, secrets, sharding, substring, suffix
+from wayfare.llm import decontam, jaccard, queries, secrets, sharding, substring, suffix, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 DIR = "/root/testdata/sf0.01"
@@ -183,3 +183,16 @@ def test_shards_are_those_of_a_heap(spark, documents):
     for size in sorted((len(g) * (len(t.encode()) + 8) for t, g in groups.items()), reverse=True):
         mine[mine.index(min(mine))] += size
     assert sorted(mine) == sorted(load)
+
+
+def test_token_counts_of_a_table(spark, documents):
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    pieces = tokens.read_vocabulary()
+    least = min(s for _, s in pieces)
+    t = Tokenizer(models.Unigram([("<unk>", least), *pieces, *((f"<0x{i:02X}>", least) for i in range(256))], unk_id=0, byte_fallback=True))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(r"[\x20\x09-\x0D]+"), "removed"), pre_tokenizers.Metaspace(prepend_scheme="always")])
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in queries.op3_unigram_token_counts(spark, DIR).collect()}
+    for i, text in documents:
+        words = (text or "").encode().split()
+        assert got[i] == (len(words), len(t.encode(text or "", add_special_tokens=False).ids)), i
