@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Seconds of the slabs in which a trajectory's points are sorted.
+SLAB = 86400
+
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """traj_id, t (epoch seconds), x, y from the events table; only four of its columns are read."""
@@ -18,11 +21,24 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(pts: DataFrame) -> DataFrame:
-    """Adjacent points of each trajectory as traj_id, seg_no, t1, x1, y1, t2, x2, y2, has_prev, has_next."""
-    w = Window.partitionBy("traj_id").orderBy("t", "x", "y")
-    nxt = {f"{c}2": F.lead(c).over(w) for c in ("t", "x", "y")}
-    rows = pts.select("traj_id", (F.row_number().over(w) - 1).alias("seg_no"), F.col("t").alias("t1"), F.col("x").alias("x1"), F.col("y").alias("y1"), *(c.alias(n) for n, c in nxt.items()), F.lead("t", 2).over(w).isNotNull().alias("has_next"))
-    return rows.filter("t2 > t1").withColumn("has_prev", F.col("seg_no") > 0)
+    """Adjacent points of each trajectory as traj_id, seg_no, t1, x1, y1, t2, x2, y2, has_prev, has_next.
+
+    Points are sorted by trajectory and slab of time, and slabs are linked through their first points and numbers of points,
+    so a trajectory with very many points is spread over tasks. Points without an id or a time belong to none.
+    """
+    rows = pts.select("traj_id", F.floor(F.col("t") / SLAB).alias("slab"), "t", "x", "y").filter("traj_id IS NOT NULL AND t IS NOT NULL")
+    slab = Window.partitionBy("traj_id", "slab")
+    w, whole = slab.orderBy("t", "x", "y"), slab.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # both sides sort the same shuffled points, which Spark then shuffles once
+    heads = rows.select("*", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(whole).alias("n")).filter("rn = 1")
+    along = Window.partitionBy("traj_id").orderBy("slab")
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    links = heads.select("traj_id", "slab", before.alias("before"), *(F.lead(c).over(along).alias(f"{c}3") for c in "txy"), F.sum("n").over(Window.partitionBy("traj_id")).alias("total"))
+    numbered = rows.select("*", F.row_number().over(w).alias("rn"), *(F.lead(c).over(w).alias(f"{c}2") for c in "txy"))
+    linked = numbered.join(links, ["traj_id", "slab"]).select(
+        "traj_id", (F.col("before") + F.col("rn") - 1).alias("seg_no"), *(F.col(c).alias(f"{c}1") for c in "txy"), *(F.when(F.col("t2").isNull(), F.col(f"{c}3")).otherwise(F.col(f"{c}2")).alias(f"{c}2") for c in "txy"), "total"
+    )
+    return linked.filter("t2 > t1").select("traj_id", "seg_no", "t1", "x1", "y1", "t2", "x2", "y2", (F.col("seg_no") + 2 < F.col("total")).alias("has_next"), (F.col("seg_no") > 0).alias("has_prev"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +56,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """Text of alternating lines, an id and then "x,y,t x,y,t ...", one file or many.
 
-    Files are read whole, since a line's meaning hangs on the one before. Trajectories of one point, or
-    whose first time is not before the last, are left out.
+    A line with a comma holds points; they belong to the id on the line before, blank lines aside. Files are read in blocks, and
+    a block's first line looks to the last one of the block before. Points without an id are left out, as are trajectories of one point
+    or whose first time is not before the last.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("l"))
-    pairs = lines.select(F.explode(F.sequence(F.lit(0), F.size("l").cast("int") - 2, F.lit(2))).alias("i"), "l").filter("size(l) >= 2")
-    rows = pairs.select(F.expr("cast(l[i] as bigint)").alias("traj_id"), F.expr("split(trim(l[i + 1]), ' +')").alias("p"))
-    rows = rows.filter("size(p) >= 2").select("traj_id", F.transform("p", lambda s: F.split(s, ",").cast("array<double>")).alias("p")).filter("p[0][2] < element_at(p, -1)[2]")
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place")).filter("trim(value) <> ''")
+    names = F.when(~F.col("value").contains(","), F.trim("value"))
+    last = lines.groupBy("file", "block").agg(F.max_by(names, "place").alias("last"))
+    ends = last.select("file", "block", F.lag("last").over(Window.partitionBy("file").orderBy("block")).alias("carried"))
+    here = Window.partitionBy("file", "block").orderBy("place")
+    paired = lines.select("file", "block", "value", F.lag(names).over(here).alias("name"), (F.row_number().over(here) == 1).alias("first")).filter(F.col("value").contains(","))
+    named = paired.join(ends, ["file", "block"]).select(F.when(F.col("first"), F.col("carried")).otherwise(F.col("name")).cast("bigint").alias("traj_id"), F.split(F.trim("value"), " +").alias("p"))
+    rows = named.filter("traj_id IS NOT NULL AND size(p) >= 2").select("traj_id", F.transform("p", lambda s: F.split(s, ",").cast("array<double>")).alias("p")).filter("p[0][2] < element_at(p, -1)[2]")
     return rows.select("traj_id", F.posexplode("p").alias("seq", "v")).select("traj_id", "seq", *(F.col("v")[i].alias(c) for i, c in enumerate("xyt")))
 
 
