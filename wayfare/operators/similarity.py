@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import points as src
@@ -85,18 +85,31 @@ def resampled(pts: DataFrame) -> DataFrame:
     return rows.select("traj_id", "i", (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("y"))
 
 
+def lives(pts: DataFrame) -> DataFrame:
+    """traj_id, first, last: the points (t, x, y) between which each trajectory lives."""
+    point = F.struct("t", "x", "y")
+    return pts.groupBy("traj_id").agg(F.min(point).alias("first"), F.max(point).alias("last")).filter("first.t < last.t")
+
+
 def pairs(pts: DataFrame) -> DataFrame:
-    """qid, traj_id, q, o: the samples of the query trajectories (id divisible by 50) and of all.
+    """qid, traj_id, q, o: the samples of the query trajectories (id divisible by 50) and of all that live in their time.
 
-    The object is resampled at the query's times. Samples before its life or after it are padded with two
-    copies each of its first or last position.
+    The object is resampled at the query's times. For each sample before its life or after it there are two copies
+    of its first or last point; an object that lives between two samples has only these.
     """
     r = resampled(pts).groupBy("traj_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    low, high = F.col("q")[0]["i"], F.element_at("q", -1)["i"]
     q = r.filter("traj_id % 50 = 0").select(F.col("traj_id").alias("qid"), F.col("p").alias("q"))
+    q = q.withColumns({"qs": F.lit(START) + low * STEP, "qe": F.lit(START) + high * STEP})
     # a stated query set against all rows
-    pair = r.crossJoin(q).withColumn("o", F.filter("p", lambda s: (s["i"] >= F.col("q")[0]["i"]) & (s["i"] <= F.element_at("q", -1)["i"]))).filter("size(o) > 0")
-    before, after = 2 * (F.col("o")[0]["i"] - F.col("q")[0]["i"]), 2 * (F.element_at("q", -1)["i"] - F.element_at("o", -1)["i"])
-    return pair.select("qid", "traj_id", "q", F.concat(F.array_repeat(F.col("o")[0], before), F.col("o"), F.array_repeat(F.element_at("o", -1), after)).alias("o"))
+    pair = lives(pts).join(r, "traj_id", "left").crossJoin(q).filter("first.t < qe AND last.t > qs")
+    alive = F.filter(F.coalesce("p", F.array().cast("array<struct<i:int,x:double,y:double>>")), lambda s: (s["i"] >= low) & (s["i"] <= high))
+
+    def copies(missing: Column, end: str) -> Column:
+        number = (2 * F.ceil(F.greatest(F.lit(0.0), missing) / STEP)).cast("int")
+        return F.array_repeat(F.struct(F.lit(-1).alias("i"), F.col(f"{end}.x").alias("x"), F.col(f"{end}.y").alias("y")), number)
+
+    return pair.select("qid", "traj_id", "q", F.concat(copies(F.col("first.t") - F.col("qs"), "first"), alive, copies(F.col("qe") - F.col("last.t"), "last")).alias("o"))
 
 
 def rmdtw(pts: DataFrame) -> DataFrame:
@@ -127,8 +140,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _CTES = f"""n AS (SELECT unnest(generate_series(0, {SAMPLES - 1})) AS i), ats AS (SELECT i, {START} + i * {STEP} AS t0 FROM n),
 sm AS (SELECT traj_id, i, x1 + (x2 - x1) * (t0 - t1) / (t2 - t1) AS x, y1 + (y2 - y1) * (t0 - t1) / (t2 - t1) AS y FROM ats JOIN seg ON t1 <= t0 AND (t0 < t2 OR t0 = t2 AND NOT has_next)),
 r AS (SELECT traj_id, list({{'i': i, 'x': x, 'y': y}} ORDER BY i) AS p FROM sm GROUP BY traj_id),
-pr AS (SELECT q.traj_id AS qid, o.traj_id, q.p AS q, list_filter(o.p, lambda z: z.i BETWEEN q.p[1].i AND q.p[-1].i) AS o FROM r q CROSS JOIN r o WHERE q.traj_id % 50 = 0),
-pd AS (SELECT qid, traj_id, q, list_concat(list_transform(range(2 * (o[1].i - q[1].i)), lambda k: o[1]), o, list_transform(range(2 * (q[-1].i - o[-1].i)), lambda k: o[-1])) AS o FROM pr WHERE len(o) > 0),
+lf AS (SELECT traj_id, min(t) AS ts, max(t) AS te, first(x ORDER BY t, x, y) AS fx, first(y ORDER BY t, x, y) AS fy, last(x ORDER BY t, x, y) AS lx, last(y ORDER BY t, x, y) AS ly FROM points GROUP BY traj_id HAVING min(t) < max(t)),
+ob AS (SELECT lf.*, r.p FROM lf LEFT JOIN r ON lf.traj_id = r.traj_id),
+pr AS (SELECT q.traj_id AS qid, o.traj_id, q.p AS q, (SELECT count(*) FROM ats WHERE i BETWEEN q.p[1].i AND q.p[-1].i AND t0 < ts) AS early, (SELECT count(*) FROM ats WHERE i BETWEEN q.p[1].i AND q.p[-1].i AND t0 > te) AS late,
+ list_filter(coalesce(o.p, []), lambda z: z.i BETWEEN q.p[1].i AND q.p[-1].i) AS o, fx, fy, lx, ly FROM r q CROSS JOIN ob o WHERE q.traj_id % 50 = 0 AND ts < {START} + q.p[-1].i * {STEP} AND te > {START} + q.p[1].i * {STEP}),
+pd AS (SELECT qid, traj_id, q, list_concat(list_transform(range(2 * early), lambda k: {{'i': -1::BIGINT, 'x': fx, 'y': fy}}), o, list_transform(range(2 * late), lambda k: {{'i': -1::BIGINT, 'x': lx, 'y': ly}})) AS o FROM pr),
 dp AS (SELECT qid, traj_id, q, o, 0 AS k, CAST([] AS DOUBLE[]) AS d FROM pd
  UNION ALL SELECT qid, traj_id, q, o, k + 1, list_append(d, sqrt(power(q[k // len(o) + 1].x - o[k % len(o) + 1].x, 2) + power(q[k // len(o) + 1].y - o[k % len(o) + 1].y, 2)) + CASE WHEN k = 0 THEN 0 ELSE
   least(CASE WHEN k >= len(o) THEN d[k - len(o) + 1] ELSE 1e300 END, CASE WHEN k % len(o) > 0 THEN d[k] ELSE 1e300 END, CASE WHEN k >= len(o) AND k % len(o) > 0 THEN d[k - len(o)] ELSE 1e300 END) END) FROM dp WHERE k < len(q) * len(o)),
