@@ -7,6 +7,7 @@ trajectory share their end points.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator
 from itertools import chain, pairwise
 
@@ -19,6 +20,8 @@ from ..sources import points as src
 
 SCHEMA = "traj_id long, piece int, s_idx int, e_idx int, t_start double, t_end double, xmin double, xmax double, ymin double, ymax double"
 SOFT = 0.2
+#: Seconds within which a sample lies on a mark.
+EXACT = 1e-7
 
 
 def _bounds(t: np.ndarray, v: np.ndarray, s: int, e: int, head: tuple | None, tail: tuple | None) -> tuple:
@@ -40,7 +43,7 @@ def greedy(t: np.ndarray, v: np.ndarray, length: float, origin: float) -> list[t
         if t[i] < mark:
             i += 1
             continue
-        exact = abs(t[i] - mark) < 1e-7
+        exact = abs(t[i] - mark) < EXACT
         last = head[0] if head and s == i - 1 else t[i - 1]
         if not exact and last > start + (1 - SOFT) * length and i - 1 > s:
             out.append(_bounds(t, v, s, i - 1, head, None))
@@ -92,28 +95,75 @@ def within(t: np.ndarray, v: np.ndarray, eps: float) -> list[int]:
     return sorted(keep)
 
 
+def at_marks(t: np.ndarray, v: np.ndarray, marks: np.ndarray) -> list[tuple]:
+    """Cut at each mark between the first and the last sample, by interpolation where no sample lies on it."""
+    marks = marks[(marks > t[0] + EXACT) & (marks < t[-1] - EXACT)]
+    near = np.clip(np.searchsorted(t, marks - EXACT), 0, len(t) - 1)
+    on = np.abs(t[near] - marks) < EXACT
+    at = [(None, 0)] + [(None, int(k)) if hit else ((m, np.interp(m, t, v[:, 0]), np.interp(m, t, v[:, 1])), int(k)) for m, k, hit in zip(marks, near, on, strict=True)] + [(None, len(t) - 1)]
+    # an interpolated end lies between the sample before it and `near`
+    return [_bounds(t, v, s - (head is not None), e, head, tail) for (head, s), (tail, e) in pairwise(at)]
+
+
+def whole_samples(t: np.ndarray, length: float) -> list[int]:
+    """Samples to cut at, so that a piece is shorter than `length` or has two samples."""
+    ends = [0]
+    while ends[-1] < len(t) - 1:
+        ends.append(min(len(t) - 1, max(ends[-1] + 1, int(np.searchsorted(t, t[ends[-1]] + length)) - 1)))
+    return ends
+
+
+def grid_origin(start: float, dataset_start: float, length: float) -> float:
+    """The mark from which a trajectory's first piece counts: the first one whose soft end lies after `start`."""
+    base = int(dataset_start) // int(length) * int(length)
+    return base + max(0, math.floor((start - base - (1 - SOFT) * length) / length) + 1) * length
+
+
 def pieces(method: str, length: float, t: np.ndarray, v: np.ndarray, dataset_start: float) -> list[tuple]:
-    parts = int((t[-1] - t[0]) / length)
-    grid = lambda t: int(dataset_start) // int(length) * int(length) + np.floor((t[0] - int(dataset_start) // int(length) * int(length)) / length) * length
+    """The pieces of one trajectory.
+
+    iss: greedy from its own start; gss: greedy on the data set's grid; rdp, rdpn: as many pieces as its time holds lengths, or eight;
+    opts: few pieces by deviation, each cut on the grid; rdp_up: rdp with the number rounded up; hybrid: few pieces by deviation,
+    each cut exactly at the grid's marks; samples: no interpolation; simplify: while the deviation is `length` or more.
+    A cut that falls on a sample moves on by one length like any other, and a piece's s_idx is the sample that it starts at.
+    """
+    lengths, lines = (t[-1] - t[0]) / length, len(t) - 1
+
+    def among(ends: list[int]) -> list[tuple]:
+        return [_bounds(t, v, s, e, None, None) for s, e in pairwise(ends)]
+
+    def in_parts(parts: int, inner: Callable[[np.ndarray, np.ndarray], list[tuple]]) -> list[tuple]:
+        return [(a + s, b + s, *rest) for s, e in pairwise(split_most(t, v, max(1, parts))) for a, b, *rest in inner(t[s : e + 1], v[s : e + 1])]
+
+    def on_grid(t: np.ndarray, v: np.ndarray) -> list[tuple]:
+        return greedy(t, v, length, grid_origin(t[0], dataset_start, length))
+
+    def exactly(t: np.ndarray, v: np.ndarray) -> list[tuple]:
+        origin = float(int(dataset_start))
+        return at_marks(t, v, origin + length * np.arange(max(1, math.floor((t[0] - origin) / length)), math.ceil((t[-1] - origin) / length) + 1))
+
     if method == "iss":
         return greedy(t, v, length, t[0])
     if method == "gss":
-        return greedy(t, v, length, grid(t))
-    if method in ("rdp", "rdpn"):
-        ends = split_most(t, v, max(1, min(parts if method == "rdp" else 8, len(t) - 1)))
-        return [_bounds(t, v, s, e, None, None) for s, e in zip(ends, ends[1:], strict=False)]
+        return on_grid(t, v)
+    if method in ("rdp", "rdp_up", "rdpn"):
+        parts = {"rdp": int(lengths), "rdp_up": math.ceil(lengths), "rdpn": 8}[method]
+        return among(split_most(t, v, max(1, min(parts, lines))))
+    if method in ("opts", "hybrid") and math.ceil(lengths) == 1:
+        return among([0, lines])
     if method == "opts":
-        ends = split_most(t, v, max(1, min(parts // 5, len(t) - 1)))
-        out = []
-        for s, e in zip(ends, ends[1:], strict=False):
-            out += [(a + s, b + s, *rest) for a, b, *rest in greedy(t[s : e + 1], v[s : e + 1], length, grid(t[s : e + 1]))]
-        return out
-    ends = within(t, v, length)
-    return [_bounds(t, v, s, e, None, None) for s, e in zip(ends, ends[1:], strict=False)]
+        return in_parts(min(math.ceil(lengths) // 5, math.ceil(math.sqrt(lines))), on_grid)
+    if method == "hybrid":
+        return in_parts(min(math.ceil(lengths) // 5, math.isqrt(lines)), exactly)
+    if method == "samples":
+        return among(whole_samples(t, length))
+    if method == "simplify":
+        return among(within(t, v, length))
+    raise ValueError(f"no such cutter: {method}")
 
 
 def cut(pts: DataFrame, method: str, length: float, dataset_start: float) -> DataFrame:
-    """iss, gss, rdp, rdpn, opts with a piece length in seconds, or simplify with a deviation as `length`.
+    """The cutters of pieces(), with a piece length in seconds, or for simplify a deviation.
 
     Points come sorted by trajectory and time; a task holds one batch and the trajectory that the batch before left open.
     """
@@ -142,7 +192,7 @@ def cut(pts: DataFrame, method: str, length: float, dataset_start: float) -> Dat
     return need.repartition(parts, "traj_id").sortWithinPartitions("traj_id", "t", "x", "y").mapInArrow(run, SCHEMA)
 
 
-METHODS = {"cut_iss": ("iss", 259200.0), "cut_gss": ("gss", 259200.0), "cut_rdp": ("rdp", 259200.0), "cut_opts": ("opts", 86400.0), "simplify_rdp": ("simplify", 40.0), "simplify_rdpn": ("rdpn", 259200.0)}
+METHODS = {"cut_iss": ("iss", 259200.0), "cut_gss": ("gss", 259200.0), "cut_rdp": ("rdp", 259200.0), "cut_opts": ("opts", 86400.0), "cut_rdp_up": ("rdp_up", 259200.0), "cut_hybrid": ("hybrid", 86400.0), "cut_samples": ("samples", 259200.0), "simplify_rdp": ("simplify", 40.0), "simplify_rdpn": ("rdpn", 259200.0)}
 DATASET_START = 1704067200.0
 
 

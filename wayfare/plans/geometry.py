@@ -107,7 +107,22 @@ r AS (SELECT *, rank() OVER (PARTITION BY qid ORDER BY round(dist, 5)) AS rk FRO
 ND_DUCK = """WITH q AS (SELECT id AS qid, v AS w FROM vectors WHERE id % 50 = 0), d AS (SELECT qid, id, list_distance(v::DOUBLE[], w::DOUBLE[]) AS dist, list_max(list_transform(list_zip(v, w), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) <= 0.5 AS holds FROM q CROSS JOIN vectors),
 r AS (SELECT *, rank() OVER (PARTITION BY qid ORDER BY round(dist, 5)) AS rk FROM d) SELECT qid, id, round(dist, 5) AS dist, holds FROM r WHERE rk <= 10"""
 
-QUERIES: dict[str, tuple[str, str]] = {
+#: Pieces of exactly a day, cut by interpolation, counted from a trajectory's own start or from the whole second in which the data set starts.
+_ORIGINS = {"cut_static_exact": "SELECT traj_id, min(t) AS o FROM points GROUP BY traj_id", "cut_global_exact": "SELECT DISTINCT traj_id, floor((SELECT min(t) FROM points)) AS o FROM points"}
+_PIECE_COLUMNS = "round(min(a), 2) AS t_start, round(max(b), 2) AS t_end, round(min(least(xa, xb)), 5) AS xmin, round(max(greatest(xa, xb)), 5) AS xmax, round(min(least(ya, yb)), 5) AS ymin, round(max(greatest(ya, yb)), 5) AS ymax"
+_ON = lambda axis, t: f"({axis}1 + ({axis}2 - {axis}1) * ({t} - t1) / (t2 - t1))"
+EXACT_SPARK = f"""WITH og AS ({{origins}}), e AS (SELECT s.*, o, explode(sequence(CAST(floor((t1 - o) / {DAY}) AS BIGINT), CAST(ceil((t2 - o) / {DAY}) AS BIGINT) - 1)) AS piece FROM seg s JOIN og ON s.traj_id = og.traj_id),
+c AS (SELECT *, greatest(t1, o + piece * {DAY}) AS a, least(t2, o + (piece + 1) * {DAY}) AS b FROM e),
+z AS (SELECT traj_id, piece, a, b, {_ON('x', 'a')} AS xa, {_ON('y', 'a')} AS ya, {_ON('x', 'b')} AS xb, {_ON('y', 'b')} AS yb FROM c)
+SELECT traj_id, piece, count(*) AS n_lines, {_PIECE_COLUMNS} FROM z GROUP BY traj_id, piece"""
+#: The same by knots: the points, and one for each piece on either side of a mark that a segment crosses.
+EXACT_DUCK = f"""WITH og AS ({{origins}}), sg AS (SELECT s.*, o, CAST(floor((t1 - o) / {DAY}) AS BIGINT) AS k1, CAST(ceil((t2 - o) / {DAY}) AS BIGINT) - 1 AS k2 FROM seg s JOIN og ON s.traj_id = og.traj_id),
+mk AS (SELECT traj_id, t1, t2, x1, x2, y1, y2, o, unnest(generate_series(k1 + 1, k2)) AS k FROM sg),
+kn AS (SELECT traj_id, k1 AS piece, t1 AS a, x1 AS xa, y1 AS ya FROM sg UNION ALL SELECT traj_id, k2, t2, x2, y2 FROM sg
+ UNION ALL SELECT traj_id, k + side, o + k * {DAY}, {_ON('x', f'(o + k * {DAY})')}, {_ON('y', f'(o + k * {DAY})')} FROM mk CROSS JOIN (SELECT unnest([-1, 0]) AS side) z)
+SELECT traj_id, piece, count(*) // 2 AS n_lines, round(min(a), 2) AS t_start, round(max(a), 2) AS t_end, round(min(xa), 5) AS xmin, round(max(xa), 5) AS xmax, round(min(ya), 5) AS ymin, round(max(ya), 5) AS ymax FROM kn GROUP BY traj_id, piece"""
+
+QUERIES: dict[str, tuple[str, str]] = {name: (EXACT_SPARK.format(origins=o), EXACT_DUCK.format(origins=o)) for name, o in _ORIGINS.items()} | {
     "box_algebra": (BOX_SPARK, BOX_DUCK), "point_algebra": (POINTS, POINTS), "segment_distances": (SEGMENTS, SEGMENTS), "interval_kinds": (INTERVAL_SPARK, INTERVAL_DUCK),
     "moving_regions_meet": (MEETS, MEETS_DUCK), "moving_region_holds": (HOLDS, HOLDS), "moving_regions_combined": (COMBINED, COMBINED), "farthest_apart": (APART, APART),
     "workload_subtrajectories": (SUBTRAJ, SUBTRAJ), "workload_points": (RANDOM_POINT, RANDOM_POINT), "points_by_index": (SUB_RANGE, SUB_RANGE), "traj_directory": (DIRECTORY, DIRECTORY),
