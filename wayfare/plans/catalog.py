@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import cutters, index, similarity
+from ..operators import cutters, index, linking, similarity
 from ..sources import points as src
 from ..streaming import live
 from . import bounds, geometry, grid, ranges, regions
@@ -179,6 +179,7 @@ OTHERWISE = {
     "region_10nn_by_sum": (None, grid.BY_SUM_DUCK),
     "index_range": (None, index.RANGE_DUCK),
     "index_pages": (None, index.PAGES_DUCK),
+    "linked_points": (None, linking.LINKED_DUCK),
 } | bounds.QUERIES | geometry.QUERIES | {k: (None, sql) for k, sql in similarity.DUCK.items()}
 
 
@@ -208,7 +209,7 @@ def duck_sql(name: str) -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     texts = SQL | {k: spark for k, (spark, _) in OTHERWISE.items() if spark}
     out = {name: functools.partial(run_sql, sql) for name, sql in texts.items()}
-    return out | {"range_cylinder": ranges.range_cylinder} | grid.QUERIES | index.QUERIES | regions.QUERIES | live.QUERIES | cutters.queries() | similarity.queries()
+    return out | {"range_cylinder": ranges.range_cylinder} | grid.QUERIES | index.QUERIES | linking.QUERIES | regions.QUERIES | live.QUERIES | cutters.queries() | similarity.queries()
 
 
 def oracle_sql() -> dict[str, str]:
