@@ -109,7 +109,7 @@ def test_lpt_is_that_of_a_heap():
 
 
 def test_mixing(spark, texts):
-    got = mixing.mix_sources(make(spark, texts), {"a": 1, "b": 2, "s0": 3, "s1": 3, "s2": 3, "": 1}, block=2, period=50).collect()
+    got = mixing.mix_sources(make(spark, texts), {"a": 1, "b": 2, "s0": 3, "s1": 3, "s2": 3, "": 1}, block=2).collect()
     assert sorted(r.position for r in got) == list(range(len(texts)))
     assert all(r.release <= r.slot < r.deadline for r in got)
 
@@ -125,10 +125,14 @@ def test_rows_in_mixed_order(spark, texts):
 
 
 def test_pfair_deviation():
-    quota = mixing.quotas([5, 3, 1.5, 0.5], 100)
-    slots = mixing.edf_period(quota, 100)
-    for c, s in zip(quota, slots, strict=True):
-        assert all(abs(sum(x < t for x in s) - c * t / 100) < 1 for t in range(101))
+    weights = [5.0, 3.0, 1.5, 0.5]
+    shares = mixing.whole(weights)
+    given = [0] * len(weights)
+    # blocks in proportion, so no source runs out before the end
+    for t, (s, *_) in enumerate(mixing.edf([1000, 600, 300, 100], shares), 1):
+        given[s] += 1
+        assert all(abs(g - w * t / sum(weights)) < 1 for g, w in zip(given, weights, strict=True))
+    assert given == [1000, 600, 300, 100]
 
 
 def test_decontamination_with_substitutions(spark):

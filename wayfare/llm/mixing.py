@@ -25,27 +25,12 @@ from pyspark.sql import functions as F
 
 from ._tables import free_prefix, ranked, read_slices, written
 
-PERIOD = 1000
 #: Blocks of the plan that the driver holds at once.
 PLAN_SLICE = 200_000
 #: Bytes of text to a range of places.
 RANGE_BYTES = 32 << 20
 
 
-def quotas(weights: list[float], period: int) -> list[int]:
-    """Whole shares of the period, at least one each, by largest remainder (ties: first)."""
-    total = sum(weights)
-    exact = [Fraction(w) / Fraction(total) * period for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    while sum(out) < period:
-        k = max(range(len(out)), key=lambda i: (exact[i] - out[i], -i))
-        out[k] += 1
-    while sum(out) > period:
-        k = min((i for i in range(len(out)) if out[i] > 1), key=lambda i: (exact[i] - out[i], i))
-        out[k] -= 1
-    return out
-
-
 def whole(weights: list[float]) -> list[int]:
     """The weights as whole numbers in exactly the same proportion."""
     exact = [Fraction(w) for w in weights]
@@ -99,15 +84,6 @@ def edf(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int,
             heapq.heappush(waiting, (release, s, i + 1, deadline, phase))
 
 
-def edf_period(quota: list[int], period: int) -> list[list[int]]:
-    """By source, the slots that its blocks get in one period of whole shares."""
-    assert sum(quota) == period
-    slots: list[list[int]] = [[] for _ in quota]
-    for t, (s, *_) in enumerate(edf(quota, quota)):
-        slots[s].append(t)
-    return slots
-
-
 def plan_blocks(rows: dict[str, int], weights: dict[str, float], block: int) -> Iterator[tuple[str, int, int, int, int, int, int]]:
     """(source, block, phase, release, deadline, slot, first row's place): sources with a weight, then the others evenly."""
     slot = phase0 = place = 0
@@ -143,13 +119,13 @@ def written_plan(spark: SparkSession, plan: Iterator[tuple]) -> DataFrame:
     return read_slices(spark, slices(), PLAN, "mix-plan")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, block: int = 32, temperature: float = 0.5, period: int = PERIOD) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, block: int = 32, temperature: float = 0.5) -> DataFrame:
     """doc_id, source, block_no, phase, release, deadline, slot, position: the mixed order of all rows.
 
     Rows of a source keep a fixed pseudo-random order (by a hash of doc_id), `block` rows to a block.
     weights: target weight by source, a null source under the name "" ; sources without one, or with
     0, come after those with one. None: each source's number of rows to the power `temperature`.
-    Weights hold exactly, over any number of slots; period is kept for callers and changes nothing.
+    Weights hold exactly, over any number of slots.
     release and deadline are the window of the block in slots; slot is where it went; position is
     the row's place in the mix, gapless from 0. Any number of sources; the driver holds one entry for each.
     Null and repeated doc_ids are kept as rows; no rows give no rows; other columns are not read.
