@@ -15,7 +15,7 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge; root is the component's least node.
 
-    Large-star and small-star rounds until nothing changes; each round is written, so a lost
+    Large-star and small-star rounds until nothing changes; each round is written, as one table, so a lost
     executor costs one round's tasks. edges: long columns a, b.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "graph")
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = written(large, "graph")
+        # read twice, through one exchange
         small = _least(large)
         now = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.withColumnRenamed("m", "b")).distinct()
         now = written(now, "graph")

@@ -214,7 +214,7 @@ def forest_edges(labels: DataFrame, threshold: float, recall: float) -> DataFram
     leaves = written(leaves, "near-leaves")
     size_of = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("lead")).filter("c > 1")
     # a text that is alone at the shortest prefix is alone below it too
-    live = written(salted_join(leaves, size_of(leaves), ["key"], ["row"]).select("row", "t", "label"), "near-live")
+    live = salted_join(leaves, size_of(leaves), ["key"], ["row"])
     depths = F.array(*(F.struct(F.lit(d).alias("d"), prefix(d).alias("key")) for d in range(LEAST, DEPTH + 1)))
     below = written(live.select("row", "t", F.inline(depths)), "near-below")
     sizes = written(size_of(below), "near-sizes")
