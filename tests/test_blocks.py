@@ -9,7 +9,8 @@ from test_trajectories import DIR, rows
 from wayfare.operators import blocks
 from wayfare.plans import catalog, regions
 
-PAIRS = ["knn_ied_ties", "knn_ied_batch", "knn_ied_pruned", "static_distance", "moving_intersecting_area"]
+PAIRS = ["knn_ied_ties", "knn_ied_batch", "knn_ied_pruned", "static_distance", "moving_intersecting_area", "cone_integral_bounds", "static_box_distance", "gap_bounds", "rmdtw_bounds", "moving_region_holds"]
+ALL_PAIRS = ["farthest_apart", "moving_regions_combined", "moving_regions_meet", "node_bounds", "volume_bounds"]
 
 
 def plan(df):
@@ -24,13 +25,13 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", PAIRS)
+@pytest.mark.parametrize("name", PAIRS + ALL_PAIRS)
 def test_pieces_are_not_joined_by_slabs(spark, name):
     text = plan(catalog.queries()[name](spark, DIR))
     assert "MapInArrow" in text and not re.search(r"Join \[slab#", text)
 
 
-@pytest.mark.parametrize("name", PAIRS)
+@pytest.mark.parametrize("name", PAIRS + ALL_PAIRS)
 def test_many_blocks_and_small_batches(spark, con, name, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", 5)
     monkeypatch.setattr(blocks, "PIECES", 7)
@@ -51,3 +52,10 @@ def test_log_edges_are_those_of_the_sql(spark):
     got = {(r.qid, r.id) for r in spark.sql(regions.OPLOG_SPARK.replace("FROM ops", "FROM {ops}"), ops=ops).collect()}
     want = {(10_000 + i, k) for i, (q, _) in enumerate(cases) for k, (_, v) in enumerate(cases) if q - 5 <= v <= q + 5}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ALL_PAIRS)
+def test_every_trajectory_is_asked_about(spark, con, name):
+    everyone = {r[0] for r in con.execute("SELECT DISTINCT user_id FROM events").fetchall()}
+    assert {r.qid for r in catalog.queries()[name](spark, DIR).select("qid").distinct().collect()} == everyone
+    assert "% 50" not in catalog.duck_sql(name)
