@@ -4,10 +4,11 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_trajectories import DIR, rows
 
 from wayfare.operators import blocks
-from wayfare.plans import catalog, regions
+from wayfare.plans import catalog, grid, regions
 
 PAIRS = ["knn_ied_ties", "knn_ied_batch", "knn_ied_pruned", "static_distance", "moving_intersecting_area", "cone_integral_bounds", "static_box_distance", "gap_bounds", "rmdtw_bounds", "moving_region_holds"]
 ALL_PAIRS = ["farthest_apart", "moving_regions_combined", "moving_regions_meet", "node_bounds", "volume_bounds"]
@@ -59,3 +60,22 @@ def test_every_trajectory_is_asked_about(spark, con, name):
     everyone = {r[0] for r in con.execute("SELECT DISTINCT user_id FROM events").fetchall()}
     assert {r.qid for r in catalog.queries()[name](spark, DIR).select("qid").distinct().collect()} == everyone
     assert "% 50" not in catalog.duck_sql(name)
+
+
+@pytest.mark.parametrize("name", ["region_10nn", "region_10nn_by_sum", "region_intersects", "region_contains", "region_count", "region_intersecting_area", "region_selfjoin", "point_location"])
+def test_boxes_in_small_blocks(spark, con, name, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 2)
+    monkeypatch.setattr(blocks, "PIECES", 30)
+    monkeypatch.setattr(grid, "TILE", (2, 11))
+    df = catalog.queries()[name](spark, DIR)
+    # cells and levels of them were joined and their pairs shuffled
+    assert "MapInArrow" in plan(df) and not re.search(r"Join \[(level|gx|hx)", plan(df))
+    a, b = df.toPandas(), con.execute(catalog.duck_sql(name)).df()
+    assert rows(a, sorted(a.columns)) == rows(b, sorted(a.columns))
+
+
+def test_a_crowded_cell_is_dealt_over_tasks(spark):
+    boxes = spark.range(400).selectExpr("id", "1D AS x1", "1D AS y1", "2D AS x2", "2D AS y2")
+    queries = boxes.filter("id < 3").selectExpr("id AS qid", "x1 AS a1", "y1 AS b1", "x2 AS a2", "y2 AS b2")
+    got = grid.meeting(queries, boxes, grid._pairs, "qid long, id long").withColumn("task", F.spark_partition_id()).toPandas()
+    assert len(got) == 1200 and got.groupby("task").id.nunique().max() < 200
