@@ -3,11 +3,12 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_trajectories import DIR, rows
 
-from wayfare.operators import blocks
+from wayfare.operators import blocks, similarity
 from wayfare.plans import catalog, grid, regions
 
 PAIRS = ["knn_ied_ties", "knn_ied_batch", "knn_ied_pruned", "static_distance", "moving_intersecting_area", "cone_integral_bounds", "static_box_distance", "gap_bounds", "rmdtw_bounds", "moving_region_holds"]
@@ -79,3 +80,15 @@ def test_a_crowded_cell_is_dealt_over_tasks(spark):
     queries = boxes.filter("id < 3").selectExpr("id AS qid", "x1 AS a1", "y1 AS b1", "x2 AS a2", "y2 AS b2")
     got = grid.meeting(queries, boxes, grid._pairs, "qid long, id long").withColumn("task", F.spark_partition_id()).toPandas()
     assert len(got) == 1200 and got.groupby("task").id.nunique().max() < 200
+
+
+def test_paths_of_many_pairs_at_once():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (1, 6), (5, 1), (9, 9), (4, 13)):
+        # whole numbers make ties
+        q, o = rng.integers(0, 3, (40, n, 2)).astype(float), rng.integers(0, 3, (40, m, 2)).astype(float)
+        pair, step, i, j = similarity.paths(q, o)
+        for k in range(40):
+            mine = sorted(zip(*(v[pair == k].tolist() for v in (step, i, j)), strict=True))
+            assert [s for s, _, _ in mine] == list(range(len(mine)))
+            assert [(a, b) for _, a, b in mine] == similarity.alignment(q[k], o[k])
