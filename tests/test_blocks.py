@@ -11,7 +11,7 @@ from test_trajectories import DIR, rows
 from wayfare.operators import blocks, similarity
 from wayfare.plans import catalog, grid, regions
 
-PAIRS = ["knn_ied_ties", "knn_ied_batch", "knn_ied_pruned", "static_distance", "moving_intersecting_area", "cone_integral_bounds", "static_box_distance", "gap_bounds", "rmdtw_bounds", "moving_region_holds"]
+PAIRS = ["knn_ied_ties", "knn_ied_batch", "knn_ied_pruned", "static_distance", "moving_intersecting_area", "cone_integral_bounds", "static_box_distance", "gap_bounds", "rmdtw_bounds", "moving_region_holds", "box_algebra"]
 ALL_PAIRS = ["farthest_apart", "moving_regions_combined", "moving_regions_meet", "node_bounds", "volume_bounds"]
 
 
