@@ -11,7 +11,7 @@ from test_trajectories import DIR, rows
 from wayfare.operators import blocks, similarity
 from wayfare.plans import catalog, grid, regions
 
-PAIRS = ["knn_ied_ties", "knn_ied_batch", "knn_ied_pruned", "static_distance", "moving_intersecting_area", "cone_integral_bounds", "static_box_distance", "gap_bounds", "rmdtw_bounds", "moving_region_holds", "box_algebra"]
+PAIRS = ["knn_ied_ties", "knn_ied_batch", "knn_ied_pruned", "static_distance", "moving_intersecting_area", "cone_integral_bounds", "static_box_distance", "gap_bounds", "rmdtw_bounds", "moving_region_holds", "box_algebra", "vector_nearest"]
 ALL_PAIRS = ["farthest_apart", "moving_regions_combined", "moving_regions_meet", "node_bounds", "volume_bounds"]
 
 
@@ -22,7 +22,7 @@ def plan(df):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("events", "customer"):
+    for t in ("events", "customer", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return c
 
